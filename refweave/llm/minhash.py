@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm import linking, wordset
-from refweave.llm.shared import stash
+from refweave.llm.shared import passes, sieve, stash
 
 PERMUTATIONS, BAND = 60, 5
 _RNG = np.random.default_rng(8128)
@@ -74,11 +75,16 @@ def sign(documents: DataFrame, width: int = 5) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
-def shingle_sets(documents: DataFrame, width: int = 5) -> DataFrame:
-    """(id, hi, lo, payload): each document's full set as sorted 64-bit hashes."""
+def shingle_sets(documents: DataFrame, bits: np.ndarray, width: int = 5) -> DataFrame:
+    """(id, hi, lo, payload): the full sets, as sorted 64-bit hashes, of documents (id, text) that pass the sieve ``bits``."""
+
+    def sifted(batches):
+        for batch in batches:
+            ids = batch.column("id")
+            yield batch.filter(pc.and_(ids.is_valid(), pa.array(passes(bits, ids.fill_null(0).to_numpy()))))
 
     def run(batches):
-        for part, values, begin in _sets(batches, "text", width):
+        for part, values, begin in _sets(sifted(batches), "text", width):
             hi, lo = np.zeros((2, len(begin) - 1), np.int64)
             full = np.diff(begin) > 0
             if full.any():
@@ -132,8 +138,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5, blo
 
     def items(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id").select("id", "hi", "lo")
-        texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-        return shingle_sets(texts, width).join(wanted, ["id", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi", "lo"]).select("id", "payload")
+        texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        return shingle_sets(texts, sieve(ids), width).join(wanted, ["id", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi", "lo"]).select("id", "payload")
 
     def star_test(one, two):
         common = F.size(F.array_intersect(one, two))

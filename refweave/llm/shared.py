@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,5 +35,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLOTS = 8_388_593  # a prime; the bits take 1 MB
+
+
+def sieve(ids: DataFrame, column: str = "id") -> np.ndarray:
+    """A bit per residue of the ids: rows it rejects are surely not among ``ids``, rows it lets through may not be.
+
+    Its size is fixed whatever the number of ids, so it may travel with a task
+    and keep most rows of a large scan out of a join.
+    """
+    slot = F.pmod(F.col(column), F.lit(SLOTS))
+    words = ids.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 32 + 1, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = np.mod(ids, SLOTS)
+    return (bits[slot >> 5] >> (slot & 31)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
