@@ -2,17 +2,72 @@
 
 from __future__ import annotations
 
-from refweave.llm import minhash
+from pyspark.sql import functions as F
+
+from refweave.llm import crf, linespread, minhash, mixing, pieces, secrets
 from refweave.llm.shared import table
 
 
+def op1_secret_ledger(spark, sf_dir):
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
+    return secrets.summary(secrets.scan_history(versions).paths)
+
+
+def op3_line_spread(spark, sf_dir):
+    out = linespread.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("dropped").cast("long").alias("dropped"), F.col("n_chars").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_line_crf(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = crf.fit(documents, table(spark, sf_dir, "labels"))
+    scored = crf.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", crf.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_pivotal_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_suffix_pieces(spark, sf_dir):
+    """Ids and what they spell; ``round_trip`` holds for every text without a literal space mark."""
+    out = pieces.encode(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+    exact = F.col("decoded") == F.replace("text", F.lit(pieces.MARK), F.lit(" "))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), exact.alias("round_trip"))
+
+
 def op8_minmax_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_minmax_minhash,)}
+    return {f.__name__: f for f in (op1_secret_ledger, op3_line_spread, op7_pivotal_mix, op9_suffix_pieces, op8_minmax_minhash, op10_line_crf)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_line_spread": LINE_SPREAD}
+
+
+LINE_SPREAD = """
+WITH parts AS (
+  SELECT doc_id, source, n_chars, text, string_split(text, chr(10)) AS p FROM documents
+), lines AS (
+  SELECT doc_id, source, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS n FROM parts
+), bare AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS b FROM lines
+), common AS (
+  SELECT b, min({'d': doc_id, 'n': n}) AS first FROM bare WHERE b <> '' AND doc_id IS NOT NULL
+  GROUP BY b HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 5
+), marked AS (
+  SELECT x.doc_id, x.line, x.n, (c.b IS NOT NULL AND NOT (c.first.d = x.doc_id AND c.first.n = x.n)) AS gone
+  FROM bare x LEFT JOIN common c ON x.b = c.b
+), rebuilt AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(r.dropped, 0) AS dropped,
+       CASE WHEN coalesce(r.dropped, 0) > 0 THEN CAST(length(r.kept) AS BIGINT) ELSE d.n_chars END AS n_chars,
+       sha256(CASE WHEN coalesce(r.dropped, 0) > 0 THEN r.kept ELSE d.text END) AS text_sha256
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
+"""
