@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refweave.llm import crf, linespread, minhash, mixing, pieces, secrets
+from refweave.llm import crf, lattice, linespread, minhash, mixing, mpegaudio, pieces, secrets, urltrees, warc
 from refweave.llm.shared import table
 
 
@@ -13,6 +13,26 @@ def op1_secret_ledger(spark, sf_dir):
     return secrets.summary(secrets.scan_history(versions).paths)
 
 
+def op2_warc_chains(spark, sf_dir):
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
+def op4_url_trees(spark, sf_dir):
+    model = urltrees.fit(urltrees.seed_urls(spark))
+    return urltrees.judge(table(spark, sf_dir, "pages"), model)
+
+
+def op5_mpeg_audio(spark, sf_dir):
+    out = mpegaudio.index(mpegaudio.store(table(spark, sf_dir, "documents")))
+    return out.withColumn("n_frames", F.size("frame_offsets")).drop("frame_offsets")
+
+
+def op6_e8_lattice(spark, sf_dir):
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_spread(spark, sf_dir):
     out = linespread.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("dropped").cast("long").alias("dropped"), F.col("n_chars").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -41,7 +61,7 @@ def op8_minmax_minhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_ledger, op3_line_spread, op7_pivotal_mix, op9_suffix_pieces, op8_minmax_minhash, op10_line_crf)}
+    return {f.__name__: f for f in (op1_secret_ledger, op2_warc_chains, op4_url_trees, op5_mpeg_audio, op6_e8_lattice, op3_line_spread, op7_pivotal_mix, op9_suffix_pieces, op8_minmax_minhash, op10_line_crf)}
 
 
 def oracle_sql() -> dict:
