@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,5 +57,20 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31)) & 1 == 1
 
 
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``ids`` (one column, no nulls); only rows that the sieve lets through are shuffled."""
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id"))
+    bits = sieve(ids)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits, keys.fillna(0).to_numpy(np.int64)))
+
+    columns = rows.columns
+    marked = rows.withColumn("_maybe", maybe(F.col(key).cast("long")) & F.col(key).isNotNull())
+    rest = marked.filter("_maybe").join(ids, F.col(key).cast("long") == F.col("id"), "left_anti")
+    return marked.filter("not _maybe").select(*columns).union(rest.select(*columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
