@@ -134,6 +134,21 @@ def _round_level(seed: int):
     return run
 
 
+def mark_of(seed: int = SEED) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
+def take(documents: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``documents``, each as often as ``mixed``, the outcome of ``mix`` with this seed, has copies of it.
+
+    Rows that repeat both doc_id and text get the mean of their copies, rounded up.
+    """
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    rows = documents.withColumn("_own", mark_of(seed))
+    joined = rows.join(copies.hint("shuffle_hash"), (F.col("_own") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)
+
+
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (doc_id by default) with size, source_size, target, copies and taken, a row per document.
 
@@ -144,7 +159,7 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed:
     gives an empty frame.
     """
     carry = carry or ["doc_id"]
-    base = documents.select(*carry, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("mark"))
+    base = documents.select(*carry, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), mark_of(seed).alias("mark"))
     base = stash(base, "sizes")
     shares = stash(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     n = base.count()
@@ -170,6 +185,7 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed:
         out = out.union(more)
     return out.select(
         *carry,
+        "mark",
         "size",
         "source_size",
         "target",
