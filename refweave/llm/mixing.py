@@ -25,8 +25,8 @@ from refweave.llm.shared import stash
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-BUCKET = 20_000  # rows that a bucket of the lowest level has on average
-FAN = 32  # buckets that meet in one of the next level
+BUCKET = 1_000  # rows that a bucket of the lowest level has on average
+FAN = 16  # buckets that meet in one of the next level
 SEED = 20240517
 
 
