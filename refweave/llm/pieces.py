@@ -14,6 +14,7 @@ normalizer, a dummy prefix and byte fallback; ``Pieces.load`` checks that.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from refweave.llm import wordset
 
@@ -304,20 +305,22 @@ def _loaded(path: str) -> Pieces:
     return Pieces.load(path)
 
 
-def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = None, texts: bool = True) -> DataFrame:
-    """``carry`` columns (all by default) and ``ids``, plus ``decoded`` where ``texts``: what the ids spell.
+def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = None, verify: bool = False) -> DataFrame:
+    """``carry`` columns (all by default) and ``ids``.
 
-    Empty texts have no ids, null texts null ids and null ``decoded``. A literal
-    space mark reads as a space. Columns named ids or decoded are replaced; an
-    empty table gives an empty frame. The pieces, a fixed table of the model,
-    travel with the task.
+    Where ``verify``, the ids are decoded again: ``decoded_sha256`` digests what
+    they spell and ``round_trip`` says whether it is the text, but for literal
+    space marks, which read as spaces. Empty texts have no ids; null texts have
+    nulls in all of these. Columns of these names are replaced; an empty table
+    gives an empty frame. The pieces, a fixed table of the model, travel with the task.
     """
     pieces = _loaded(path)
-    carry = [c for c in (documents.columns if carry is None else carry) if c not in ("ids", "decoded")]
+    new = {"ids": ArrayType(IntegerType())} | ({"decoded_sha256": StringType(), "round_trip": BooleanType()} if verify else {})
+    carry = [c for c in (documents.columns if carry is None else carry) if c not in new]
     frame = documents.select(*dict.fromkeys([*carry, "text"]))
-    schema = StructType([frame.schema[c] for c in carry]).add("ids", ArrayType(IntegerType()))
-    if texts:
-        schema = schema.add("decoded", "string")
+    schema = StructType([frame.schema[c] for c in carry])
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
 
     def run(batches):
         matcher, speller = Matcher(pieces), Speller(pieces)
@@ -325,13 +328,14 @@ def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = No
             for part in wordset.runs(batch, "text"):
                 column = part.column("text").to_pylist()
                 flat, start = matcher.encode(column)
-                null = pa.array([t is None for t in column])
-                ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=null)
+                ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in column]))
                 out = [*(part.column(c) for c in carry), ids]
-                if texts:
-                    every = flat.tolist()
-                    out.append(pa.array([None if t is None else speller.decode(every[a:b]) for t, a, b in zip(column, start[:-1].tolist(), start[1:].tolist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, [f.name for f in schema.fields])
+                if verify:
+                    every, cuts = flat.tolist(), start.tolist()
+                    spelled = [None if t is None else speller.decode(every[a:b]) for t, a, b in zip(column, cuts, cuts[1:])]
+                    out.append(pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in spelled], pa.string()))
+                    out.append(pa.array([None if t is None else s == t.replace(MARK, " ") for s, t in zip(spelled, column)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return frame.mapInArrow(run, schema)
 

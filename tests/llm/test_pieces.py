@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -41,13 +42,14 @@ def test_forgetting(model, monkeypatch):
 
 def test_frames(spark, model):
     rows = [(i, t, "x", [1]) for i, t in enumerate([None, *odd_texts(), "literal ▁ mark"])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids array<int>")
-    got = {r.doc_id: r for r in pieces.encode(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded_sha256 string, ids array<int>")
+    got = {r.doc_id: r for r in pieces.encode(df, verify=True).collect()}
     for i, t, *_ in rows:
         assert got[i].ids == (None if t is None else model.encode(t))
-        assert got[i].decoded == (None if t is None else t.replace("▁", " "))
-    spelled = {r.doc_id: r.text for r in pieces.decode(pieces.encode(df, texts=False)).collect()}
-    assert spelled == {i: r.decoded for i, r in got.items()}
+        assert got[i].decoded_sha256 == (None if t is None else hashlib.sha256(t.replace("▁", " ").encode()).hexdigest())
+        assert got[i].round_trip == (None if t is None else True)
+    spelled = {r.doc_id: r.text for r in pieces.decode(pieces.encode(df)).collect()}
+    assert spelled == {i: None if t is None else t.replace("▁", " ") for i, t, *_ in rows}
     assert pieces.encode(df.limit(0)).count() == 0
 
 
