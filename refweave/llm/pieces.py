@@ -325,7 +325,7 @@ def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = No
     def run(batches):
         matcher, speller = Matcher(pieces), Speller(pieces)
         for batch in batches:
-            for part in wordset.runs(batch, "text"):
+            for part in wordset.runs(batch, "text", 3 << 20):
                 column = part.column("text").to_pylist()
                 flat, start = matcher.encode(column)
                 ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in column]))

@@ -5,6 +5,7 @@ A word is a run of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,7 +124,16 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def runs(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def tidy() -> None:
+    """Give memory that is free back to the system: a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def runs(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, one row at least."""
     if not batch.num_rows:
         return
@@ -133,3 +143,4 @@ def runs(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    tidy()
