@@ -22,13 +22,12 @@ from refweave.llm import linking
 from refweave.llm.shared import stash
 
 COSINE = 0.9
-SCALE = 0.5
 SEED = 24061
 
-# (blocks, tables, probes): at cosine 0.9 a pair meets with probability 0.99 in either.
+# (blocks, tables, probes, scale): at cosine 0.9 a pair meets with probability 0.99 in either.
 # The lattice's dimension follows the logarithm of the row count, so cells stay small.
-PLANS = ((2, 10, 3), (3, 20, 6))
-DENSE = 3_000_000
+PLANS = ((2, 12, 4, 0.5625), (3, 20, 6, 0.5))
+DENSE = 1_000_000
 
 
 def _roots() -> np.ndarray:
@@ -62,18 +61,18 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], b, a)
 
 
-def projection(table: int, dim: int, blocks: int) -> np.ndarray:
+def projection(table: int, dim: int, blocks: int, scale: float) -> np.ndarray:
     g = np.random.default_rng([SEED, table, dim]).normal(size=(dim, 8 * blocks))
     base = np.linalg.qr(g)[0] if dim >= 8 * blocks else g / np.sqrt(dim)
-    return base * (SCALE * np.sqrt(dim))
+    return base * (scale * np.sqrt(dim))
 
 
-def cells(unit: np.ndarray, blocks: int, tables: int, probes: int) -> np.ndarray:
+def cells(unit: np.ndarray, blocks: int, tables: int, probes: int, scale: float) -> np.ndarray:
     """Cell hashes (rows, tables * (1 + probes)): the own cell, then the neighbours by distance."""
     n, dim = unit.shape
     out = np.empty((n, tables, 1 + probes), np.uint64)
     for t in range(tables):
-        y = unit @ projection(t, dim, blocks)
+        y = unit @ projection(t, dim, blocks, scale)
         own, gain, moves = [], [], []
         for b in range(blocks):
             part = y[:, 8 * b : 8 * b + 8]
@@ -169,7 +168,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     repeat a vec_id and its vector are one vector. Other columns are ignored.
     """
     vectors = stash(unit_vectors(embeddings).distinct(), "vectors")
-    blocks, tables, probes = PLANS[vectors.count() > DENSE]
+    plan = PLANS[vectors.count() > DENSE]
 
     def run(batches):
         for batch in batches:
@@ -179,7 +178,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
             for s in np.unique(sizes):
                 at = np.flatnonzero(sizes == s)
                 unit = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), s)
-                hashed = cells(unit, blocks, tables, probes)
+                hashed = cells(unit, *plan)
                 yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64).ravel()), pa.array(np.repeat(ids[at], hashed.shape[1]))], ["bucket", "id"])
 
     members = vectors.mapInArrow(run, "bucket long, id long").distinct()
