@@ -163,4 +163,4 @@ def search_items(responses: DataFrame, column: str = "body") -> DataFrame:
     """A row per result of a search response: its place and its JSON text. Results that are no objects are passed over."""
     listed = F.filter(items(at(F.try_parse_json(column), "$.message.items")), is_object)
     rest = [c for c in responses.columns if c != column]
-    return responses.select(*rest, F.posexplode(F.transform(listed, F.to_json)).alias("pos", "message"))
+    return responses.select(*rest, F.posexplode(F.transform(listed, lambda x: F.to_json(x))).alias("pos", "message"))
