@@ -19,6 +19,7 @@ import heapq
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,18 @@ class Pieces:
         return Pieces(text, rank.astype(np.int64), usable, byte.astype(np.int32))
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; ``fresh`` collects the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Matcher:
     """Encodes words; remembers what it has encoded."""
 
@@ -79,7 +92,7 @@ class Matcher:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     # -- the index -------------------------------------------------------------------
@@ -219,7 +232,7 @@ class Matcher:
         return np.flatnonzero(np.frombuffer(bytes(alive), np.uint8)) + begin
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet."""
+        """Encode new words, in the order of their numbers."""
         lo = 0
         while lo < len(words):
             hi, total = lo, 0
@@ -260,23 +273,19 @@ class Matcher:
         for k, b in zip(raw, spelled):
             flat[at[k] : at[k] + len(b)] = self.pieces.byte[list(b)]
         per = np.bincount(word, count, len(words)).astype(np.int64)
-        base = len(self.start) - 1
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(per)))
         self.flat = np.concatenate((self.flat, flat))
-        self.known.update(zip(words, range(base, base + len(words))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's first (one more at the end); null texts have none."""
         if len(self.known) > CACHE:
             self.forget()
         split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        fresh = {w for s in split for w in s if w not in known}
-        if fresh:
-            self.learn(sorted(fresh))
-        number = known.__getitem__
         count = np.array([len(s) for s in split], np.int64)
-        which = np.fromiter((number(w) for s in split for w in s), np.int64, int(count.sum()))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        if self.known.fresh:
+            self.learn(self.known.fresh)
+            self.known.fresh = []
         per = self.start[which + 1] - self.start[which]
         place = np.repeat(self.start[which] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum()) if len(which) else np.zeros(0, np.int64)
         total = np.concatenate(([0], np.cumsum(per)))
