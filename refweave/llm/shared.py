@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/refweave/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has stashed. Frames that came from operators can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -31,7 +42,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     size. An empty frame comes back empty with the same schema.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/refweave/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,18 +68,22 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31)) & 1 == 1
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is not among ``ids`` (one column, no nulls); only rows that the sieve lets through are shuffled."""
-    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id"))
-    bits = sieve(ids)
+def maybe_among(bits: np.ndarray, key: Column) -> Column:
+    """Whether a long key passes the sieve; false for nulls."""
 
     @F.pandas_udf("boolean")
     def maybe(keys: pd.Series) -> pd.Series:
         return pd.Series(passes(bits, keys.fillna(0).to_numpy(np.int64)))
 
+    return maybe(key) & key.isNotNull()
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``ids`` (one column, no nulls); only rows that the sieve lets through are shuffled."""
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
     columns = rows.columns
-    marked = rows.withColumn("_maybe", maybe(F.col(key).cast("long")) & F.col(key).isNotNull())
-    rest = marked.filter("_maybe").join(ids, F.col(key).cast("long") == F.col("id"), "left_anti")
+    marked = rows.withColumn("_maybe", maybe_among(sieve(ids, "_id"), F.col(key).cast("long")))
+    rest = marked.filter("_maybe").join(ids, F.col(key).cast("long") == F.col("_id"), "left_anti")
     return marked.filter("not _maybe").select(*columns).union(rest.select(*columns))
 
 

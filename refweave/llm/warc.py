@@ -14,7 +14,6 @@ import hashlib
 import re
 import uuid
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from refweave.llm import linking
-from refweave.llm.shared import passes, shared_dir, sieve, stash
+from refweave.llm.shared import maybe_among, own_dir, sieve, stash
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -47,14 +46,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     keyed = rows.filter((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     heads = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = stash(keyed.join(heads, "digest").filter("page_id <> first").distinct(), "revisits")
-    bits = sieve(again, "page_id")
-
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits, ids.fillna(0).to_numpy(np.int64)))
-
     # Only rows that may be revisits go through the join; the rest need no shuffle.
-    marked = rows.withColumn("maybe", maybe("page_id"))
+    marked = rows.withColumn("maybe", maybe_among(sieve(again, "page_id"), F.col("page_id")))
     out = marked.filter("not maybe").withColumn("first", F.lit(None).cast("long")).union(marked.filter("maybe").join(again, ["page_id", "digest"], "left").select(*rows.columns, "maybe", "first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("first").isNotNull()
@@ -251,4 +244,4 @@ def _rejoined(spark, path, placed, real, split) -> DataFrame:
 
 
 def archive_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/refweave/warc-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
