@@ -8,14 +8,15 @@ however many paths and versions hold it; findings are then joined to all paths.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refweave.llm.shared import maybe_among, sieve
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,15 +88,19 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     """
     addressed = address(versions)
     wanted = [(r.kind, r.version) for r in rules]
-    # One row per blob and task reaches the shuffle, so a blob with many copies costs no more than one.
-    blobs = addressed.select("blob", "content").dropDuplicates(["blob"])
+    texts = addressed.select("blob", "content")
     none = F.lit(None).cast("array<struct<kind:string,version:int>>")
     old = None
     if ledger is not None:
         old = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"), F.flatten(F.collect_list("found")).alias("known"))
-        blobs = blobs.join(old.select("blob", "done"), "blob", "left")
-    else:
-        blobs = blobs.withColumn("done", none)
+        every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in wanted])
+        complete = old.filter(F.size(F.array_except(every, "done")) == 0).select("blob")
+        unseen = addressed.select("blob").distinct().join(complete, "blob", "left_anti").select(F.xxhash64("blob").alias("id"))
+        # Contents that have been scanned in full stay where they are; few others pass the sieve with the unseen ones.
+        texts = texts.filter(maybe_among(sieve(unseen), F.xxhash64("blob")))
+    # One row per blob and task reaches the shuffle, so a blob with many copies costs no more than one.
+    blobs = texts.dropDuplicates(["blob"])
+    blobs = blobs.withColumn("done", none) if old is None else blobs.join(old.select("blob", "done"), "blob", "left")
 
     def run(batches):
         compiled = {r: re.compile(r.pattern, re.ASCII) for r in rules}
@@ -111,23 +116,44 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
                 results.append([{"rule": wanted.index((k, v)), "kind": k, "version": v, "start": s, "end": e} for _, k, v, s, e in hits])
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(scanned, kind), pa.array(results, found)], ["blob", "rules", "found"])
 
-    fresh = blobs.mapInArrow(run, f"blob binary, rules array<struct<kind:string,version:int>>, found {FOUND}").filter(F.size("rules") > 0)
-    results = fresh.select("blob", "found").filter(F.size("found") > 0)
+    fresh = blobs.mapInArrow(run, LEDGER).filter(F.size("rules") > 0)
+    results = fresh.select("blob", "found")
     if old is not None:
         results = results.union(old.select("blob", F.col("known").alias("found"))).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-        # The ledger may hold rules, or versions of rules, that are no longer asked for.
-        index = F.create_map(*[x for k, (kind, v) in enumerate(wanted) for x in (F.lit(f"{kind}/{v}"), F.lit(k))])
-        at = lambda x: index[F.concat(x["kind"], F.lit("/"), x["version"].cast("string"))]
-        known = F.filter("found", lambda x: at(x).isNotNull())
-        results = results.select("blob", F.transform(known, lambda x: F.struct(at(x).alias("rule"), x["kind"].alias("kind"), x["version"].alias("version"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
-    ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    results = results.select("blob", ordered.alias("found"))
-    paths = addressed.select("path", "version", "blob").join(results, "blob", "left").select("path", "version", "blob", F.coalesce("found", F.array().cast(results.schema["found"].dataType)).alias("found"))
-    return Scan(fresh, paths)
-
-
-def digest(base_spans: str) -> str:
-    return hashlib.sha256(base_spans.encode()).hexdigest()
+    return Scan(fresh, place(addressed, results, rules))
+
+
+def place(addressed: DataFrame, results: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, version, blob, found): ``results`` (blob, found), but for rules or versions that are not asked for, at all paths."""
+    index = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}/{r.version}", k)])
+    at = lambda x: F.element_at(index, F.concat(x["kind"], F.lit("/"), x["version"].cast("string")))
+    asked = F.filter("found", lambda x: at(x).isNotNull())
+    ordered = F.array_sort(F.transform(asked, lambda x: F.struct(x["start"].alias("start"), at(x).alias("rule"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    hits = results.select("blob", ordered.alias("found")).filter(F.size("found") > 0)
+    empty = F.array().cast(hits.schema["found"].dataType)
+    return addressed.select("path", "version", "blob").join(hits, "blob", "left").select("path", "version", "blob", F.coalesce("found", empty).alias("found"))
+
+
+LEDGER = f"blob binary, rules array<struct<kind:string,version:int>>, found {FOUND}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier scans have recorded under ``path``; None before the first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(LEDGER).parquet(path) if there else None
+
+
+def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger under ``path`` lacks, record it there, and return all paths with all findings.
+
+    The scan is written first; the findings are then read from the ledger, so
+    no blob is scanned twice.
+    """
+    spark = versions.sparkSession
+    scan_history(versions, read_ledger(spark, path), rules).blobs.write.mode("append").parquet(path)
+    results = read_ledger(spark, path).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return place(address(versions), results, rules)
 
 
 def summary(paths: DataFrame) -> DataFrame:

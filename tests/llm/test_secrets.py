@@ -60,6 +60,17 @@ def test_ledger_skips_what_was_scanned(spark):
     assert sorted(map(repr, secrets.summary(third.paths).collect())) == sorted(map(repr, secrets.summary(secrets.scan_history(every).paths).collect()))
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert secrets.read_ledger(spark, path) is None
+    secrets.scan_into(versions(spark, TEXTS[:6]), path, secrets.BASE)
+    got = secrets.summary(secrets.scan_into(versions(spark, TEXTS), path)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, secrets.summary(secrets.scan_history(versions(spark, TEXTS)).paths).collect()))
+    before = secrets.read_ledger(spark, path).count()
+    secrets.scan_into(versions(spark, TEXTS), path)
+    assert secrets.read_ledger(spark, path).count() == before
+
+
 def test_history_and_empty(spark):
     hist = spark.createDataFrame([("a.py", 1, "token=abcdef1"), ("a.py", 2, ""), ("b.py", 1, "token=abcdef1"), (None, None, "token=abcdef1")], "path string, version int, content string")
     scan = secrets.scan_history(hist)
