@@ -194,9 +194,10 @@ TITLE_KEY = (
 )
 
 
-@query(f"SELECT doc_id, {TITLE_KEY.format(x='split_part(text, chr(10), 1)')} AS title_key FROM documents")
+@query(f"SELECT doc_id, {TITLE_KEY.format(x='text')} AS title_key FROM documents")
 def title_key(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select("doc_id", latex.title_keys(T.first_line(F.col("text"))).alias("title_key"))
+    """Whole texts as titles."""
+    return T.table(spark, sf_dir, "documents").select("doc_id", latex.title_keys("text").alias("title_key"))
 
 
 D = f"""
@@ -378,11 +379,11 @@ def unique_key(spark, sf_dir):
     return unique_keys(rows, "base", ["p_partkey"], ["p_brand"]).select("p_partkey", "key")
 
 
-@query(f"""WITH t AS (SELECT doc_id, source, {TITLE_KEY.format(x='split_part(text, chr(10), 1)')} AS k FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, source, {TITLE_KEY.format(x='text')} AS k FROM documents),
   x AS (SELECT doc_id, source, list_distinct(string_split(k, ' ')) AS w FROM t WHERE k <> '')
   SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)), 6) AS dice FROM x a JOIN x b ON a.doc_id + 20 = b.doc_id""")
 def token_dice(spark, sf_dir):
-    keyed = T.table(spark, sf_dir, "documents").select("doc_id", latex.title_keys(T.first_line(F.col("text"))).alias("k")).filter("k <> ''")
+    keyed = T.table(spark, sf_dir, "documents").select("doc_id", latex.title_keys("text").alias("k")).filter("k <> ''")
     other = keyed.select(F.col("doc_id").alias("right_id"), F.col("k").alias("k2"))
     return keyed.join(other, F.col("doc_id") + 20 == F.col("right_id")).select(F.col("doc_id").alias("left_id"), "right_id", F.round(similarity.dice(F.col("k"), F.col("k2")), 6).alias("dice"))
 
@@ -418,13 +419,13 @@ def plan_fixes(spark, sf_dir):
     return fixes.plan_fixes(found, rules.entry_problems(found)).select("bib_id", "ord", "field", "old", "new")
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[{}\\\\]', '', 'g') AS x FROM documents),
-  a AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(x, '\\b[A-Z][A-Z0-9]+(?:-[A-Z0-9]+)*s?\\b'), lambda w: upper(w) NOT IN ('A', 'AN', 'THE', 'AND', 'OR', 'OF', 'IN', 'ON', 'FOR', 'TO', 'I', 'II', 'III', 'IV'))) AS w FROM t WHERE NOT regexp_matches(x, '[^\\x00-\\x7F]'))
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[{}\\\\]', '', 'g'), '[^\\x00-\\x7F]', 'x', 'g') AS x FROM documents),
+  a AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(x, '\\b[A-Z][A-Z0-9]+(?:-[A-Z0-9]+)*s?\\b'), lambda w: upper(w) NOT IN ('A', 'AN', 'THE', 'AND', 'OR', 'OF', 'IN', 'ON', 'FOR', 'TO', 'I', 'II', 'III', 'IV'))) AS w FROM t)
   SELECT doc_id, len(w) AS n FROM a WHERE len(w) > 0""")
 def case_protection(spark, sf_dir):
-    """Acronyms of ASCII first lines without braces; words with inner capitals are left out, as SQL has no lookaround for them."""
-    title = F.regexp_replace(T.first_line(F.col("text")), r"[{}\\]", "")
-    rows = T.table(spark, sf_dir, "documents").select("doc_id", title.alias("t")).filter(~F.col("t").rlike(r"[^\x00-\x7F]"))
+    """Acronyms of whole texts, read without braces and with an x for letters beyond ASCII; words with inner capitals are another query's."""
+    title = F.regexp_replace(F.regexp_replace("text", r"[{}\\]", ""), r"[^\x00-\x7F]", "x")
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", title.alias("t"))
     words = F.filter(rules.case_facts("t")["words"], lambda w: ~w.rlike("[a-z][A-Z]") & w.rlike("^[A-Z][A-Z0-9-]+s?$"))
     return rows.select("doc_id", F.size(words).cast("long").alias("n")).filter("n > 0")
 
