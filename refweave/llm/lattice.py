@@ -144,16 +144,15 @@ def count_links(components: DataFrame, vectors: DataFrame, cosine: float, block:
 
     def run(batches):
         for g in linking.groups(batches, ["component", "x", "y"]):
-            a = g[g["side"] == 0]
-            if g["x"].iat[0] == g["y"].iat[0]:
-                linked = cosine_table(list(a["payload"]), list(a["payload"])) >= cosine
+            a = g["side"] == 0
+            left = g["payload"][a].tolist()
+            if g["x"][0] == g["y"][0]:
+                linked = cosine_table(left, left) >= cosine
                 np.fill_diagonal(linked, False)
-                yield pd.DataFrame({"id": a["id"], "k": linked.sum(axis=1)})
-                continue
-            b = g[g["side"] == 1]
-            if len(a) and len(b):
-                linked = cosine_table(list(a["payload"]), list(b["payload"])) >= cosine
-                yield pd.DataFrame({"id": [*a["id"], *b["id"]], "k": [*linked.sum(axis=1), *linked.sum(axis=0)]})
+                yield pd.DataFrame({"id": g["id"][a], "k": linked.sum(axis=1)})
+            elif a.any() and not a.all():
+                linked = cosine_table(left, g["payload"][~a].tolist()) >= cosine
+                yield pd.DataFrame({"id": np.concatenate((g["id"][a], g["id"][~a])), "k": np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))})
 
     counted = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInPandas(run, "id long, k long")
     return counted.groupBy("id").agg(F.sum("k").alias("n_links"))

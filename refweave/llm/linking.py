@@ -62,29 +62,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys from the sorted rows of a partition; at most one group is held over."""
-    rest: list[pd.DataFrame] = []
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal keys from the sorted rows of a partition, by column; at most one group is held over."""
+    rest: list[dict[str, np.ndarray]] = []
+
+    def whole():
+        return rest[0] if len(rest) == 1 else {c: np.concatenate([r[c] for r in rest]) for c in rest[0]}
+
     for batch in batches:
-        if not len(batch):
+        n = len(batch)
+        if not n:
             continue
-        values = batch[keys].to_numpy()
-        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-        if rest and (values[0] != rest[-1][keys].to_numpy()[-1]).any():
-            yield pd.concat(rest) if len(rest) > 1 else rest[0]
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        if rest and any(rest[-1][k][-1] != columns[k][0] for k in keys):
+            yield whole()
             rest = []
-        bounds = [0, *cuts.tolist(), len(batch)]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            part = batch.iloc[lo:hi]
-            if hi == len(batch):
-                rest.append(part)
-            elif rest:
-                yield pd.concat([*rest, part])
+        change = np.zeros(n - 1, bool)
+        for k in keys:
+            change |= columns[k][1:] != columns[k][:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+        for lo, hi in zip(bounds, bounds[1:]):
+            rest.append({c: v[lo:hi] for c, v in columns.items()})
+            if hi < n:
+                yield whole()
                 rest = []
-            else:
-                yield part
     if rest:
-        yield pd.concat(rest) if len(rest) > 1 else rest[0]
+        yield whole()
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -162,18 +165,21 @@ def link_buckets(
     dealt = rows.select("bucket", "id", "c", F.explode(tiles).alias("t")).select("bucket", "id", "c", "t.*").join(payload, "id")
 
     def verify(batches):
+        edges: list[tuple[int, int]] = []
         for g in groups(batches, ["bucket", "x", "y"]):
-            a = g[g["side"] == 0]
-            b = a if g["x"].iat[0] == g["y"].iat[0] else g[g["side"] == 1]
-            if not len(a) or not len(b):
-                continue
-            differ = a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]
+            a = g["side"] == 0
+            b = a if g["x"][0] == g["y"][0] else ~a
+            differ = g["c"][a][:, None] != g["c"][b][None, :]
             if not differ.any():
                 continue
-            linked = tile_test(list(a["payload"]), list(b["payload"])) & differ
+            linked = tile_test(g["payload"][a].tolist(), g["payload"][b].tolist()) & differ
             if linked.any():
-                edges = forest(linked, a["id"].to_numpy(), b["id"].to_numpy())
+                edges += forest(linked, g["id"][a], g["id"][b])
+            if len(edges) > 10_000:
                 yield pd.DataFrame(edges, columns=["a", "b"])
+                edges = []
+        if edges:
+            yield pd.DataFrame(edges, columns=["a", "b"])
 
     more = stash(
         dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInPandas(verify, "a long, b long"),

@@ -192,13 +192,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def walk(batches):
         for g in linking.groups(batches, ["file", "block"]):
             step = dict(zip(g["gpos"], g["gsucc"]))
-            starts = g["gpos"][g["entry"]]
-            chain, at = [], starts.iat[0] if len(starts) else None
+            starts = g["gpos"][g["entry"].astype(bool)]
+            chain, at = [], starts[0] if len(starts) else None
             while at in step:
                 chain.append(at)
                 at = step.pop(at)
             if chain:
-                yield pd.DataFrame({"file": g["file"].iat[0], "block": g["block"].iat[0], "gpos": chain})
+                yield pd.DataFrame({"file": g["file"][0], "block": g["block"][0], "gpos": chain})
 
     chains = marked.repartition("file", "block").sortWithinPartitions("file", "block", "gpos").mapInPandas(walk, "file string, block long, gpos long")
     real = stash(found.join(chains, ["file", "block", "gpos"]), "records")
@@ -237,7 +237,7 @@ def _rejoined(spark, path, placed, real, split) -> DataFrame:
             whole = MAGIC.encode().join(g["value"])
             head = _opened(whole)
             body = _payload(whole[head[1] : head[1] + head[2]])
-            yield pd.DataFrame({"file": [g["file"].iat[0]], "gpos": [g["owner"].iat[0]], "payload_bytes": [len(body)], "payload_digest": [hashlib.sha256(body).hexdigest()]})
+            yield pd.DataFrame({"file": [g["file"][0]], "gpos": [g["owner"][0]], "payload_bytes": [len(body)], "payload_digest": [hashlib.sha256(body).hexdigest()]})
 
     glued = raw.repartition("file", "owner").sortWithinPartitions("file", "owner", "gpos").mapInPandas(glue, "file string, gpos long, payload_bytes long, payload_digest string")
     return split.join(glued, ["file", "gpos"]).select("page_id", "record_type", "refers_to", "declared", "payload_bytes", "payload_digest")
