@@ -76,3 +76,30 @@ def resolve(entries: DataFrame, works: DataFrame, replies: DataFrame | None = No
     both = by_doi(entries, works).unionByName(best_match(untied, found))
     onward = as_records(works).select(F.col("doi").alias("_next"), F.col("known").alias("published"))
     return both.join(onward, F.col("known.published_version_doi") == F.col("_next"), "left").drop("_next")
+
+
+# Fixed: the columns that a search asks the registry for.
+SELECT = (
+    "DOI,title,subtitle,author,issued,published,container-title,short-container-title,volume,issue,page,publisher,type,subtype,relation,"
+    "update-to,updated-by,alternative-id"
+)
+
+
+def search_identifier(title, first_family):
+    """The sorted, encoded parameters by which a search is recorded; no author, no author parameter."""
+    part = lambda name, value: F.concat(F.lit(f"{name}="), F.url_encode(value))
+    author = F.when(first_family.isNotNull(), part("query.author", first_family))
+    return F.concat_ws("&", author, part("query.bibliographic", title), part("rows", F.lit(str(ROWS))), part("select", F.lit(SELECT)))
+
+
+def recorded_replies(entries: DataFrame, responses: DataFrame) -> DataFrame:
+    """(bib_id, ord, pos, known): recorded ``responses`` (identifier, body) to the searches of entries without a DOI.
+
+    Each distinct search is joined once, however many entries ask it.
+    """
+    from refweave.sources.works import map_works, search_items
+
+    asked = entries.filter("doi is null and title is not null").select("bib_id", "ord", search_identifier(F.col("title"), F.get("authors", F.lit(0))["family"]).alias("identifier"))
+    wanted = responses.join(asked.select("identifier").distinct(), "identifier", "left_semi")
+    mapped = map_works(search_items(wanted))
+    return asked.join(mapped.select("identifier", "pos", F.struct(*FACTS, *FLAGS).alias("known")), "identifier").select("bib_id", "ord", "pos", "known")

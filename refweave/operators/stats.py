@@ -60,3 +60,29 @@ def summarise(entries: DataFrame, reference_year: int, self_family_keys: list[st
     out = totals(entries, reference_year, self_family_keys).join(listed("venue", TOP), "bib_id", "left").join(listed("kind", None), "bib_id", "left")
     first = F.get("venues", F.lit(0))
     return out.withColumn("notes", notes(first["name"], F.coalesce(first["count"], F.lit(0))))
+
+
+def stats_json(summaries: DataFrame) -> DataFrame:
+    """(bib_id, json) of ``summarise``; numbers that are not known are null."""
+    c = F.col
+    kinds = F.transform("kinds", lambda k: F.struct(k["name"].alias("kind"), k["count"].alias("count")))
+    body = F.struct("total", "with_doi", "with_identifier", "preprints", "self_citations", "median_year", "oldest_year", "newest_year", "older_than_10y", F.coalesce(c("venues"), F.array().cast("array<struct<name:string,count:long>>")).alias("venues"), kinds.alias("kinds"), "notes")
+    return summaries.select("bib_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def stats_text(summaries: DataFrame) -> DataFrame:
+    """(bib_id, text): the numbers worth a line, the three most frequent venues, and the notes."""
+    c = F.col
+    with_share = lambda n: F.concat(c(n).cast("string"), F.lit("  ("), percent(c(n), c("total")), F.lit(")"))
+    lines = [
+        ("references", c("total").cast("string"), F.lit(True)), ("with a DOI", with_share("with_doi"), F.lit(True)),
+        ("years", F.concat(c("oldest_year").cast("string"), F.lit("–"), c("newest_year").cast("string"), F.lit("   median "), c("median_year").cast("string")), c("median_year").isNotNull()),
+        (f"older than {OLD_YEARS}y", with_share("older_than_10y"), c("median_year").isNotNull()), ("preprints", with_share("preprints"), c("preprints") > 0), ("self-citations", with_share("self_citations"), c("self_citations") > 0),
+    ]
+    shown = F.filter(F.array(*[F.when(when, F.struct(F.lit(label).alias("l"), value.alias("v"))) for label, value, when in lines]), lambda x: x.isNotNull())
+    width = F.array_max(F.transform("shown", lambda x: F.length(x["l"])))
+    rows = F.transform("shown", lambda x: F.concat(F.lit("  "), F.lpad(x["l"], c("width"), F.lit(" ")), F.lit("  "), x["v"]))
+    name = lambda v: F.when(F.length(v["name"]) > 52, F.concat(F.left(v["name"], F.lit(49)), F.lit("…"))).otherwise(v["name"])
+    venues = F.transform(F.slice(F.coalesce("venues", F.array().cast("array<struct<name:string,count:long>>")), F.lit(1), F.lit(3)), lambda v: F.concat(F.lit("    "), F.lpad(v["count"].cast("string"), F.lit(3), F.lit(" ")), F.lit("  "), name(v)))
+    said = F.transform("notes", lambda n: F.concat(F.lit("  · "), n))
+    return summaries.withColumn("shown", shown).withColumn("width", width).select("bib_id", F.array_join(F.concat(rows, venues, said), "\n").alias("text"))

@@ -37,11 +37,15 @@ def summary(reports: DataFrame) -> DataFrame:
     return reports.groupBy("bib_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.min_by("status", rank).alias("worst_status"), F.count_if("resolved").alias("verified"))
 
 
-def fails(reports: DataFrame, spec: str) -> DataFrame:
-    """(bib_id, fails): whether any entry has a status that ``spec``, a comma list of ``FAIL_ON`` names, asks for."""
+def wanted(spec: str) -> list[str]:
+    """The statuses that a comma list of ``FAIL_ON`` names stands for."""
     names = [x.strip() for x in spec.split(",") if x.strip()]
     unknown = [x for x in names if x not in FAIL_ON]
     if unknown:
         raise ValueError(f"unknown --fail-on value: {', '.join(unknown)}")
-    wanted = sorted({s for x in names for s in FAIL_ON[x]})
-    return reports.groupBy("bib_id").agg(F.coalesce(F.bool_or(F.col("status").isin(*wanted)), F.lit(False)).alias("fails"))
+    return sorted({s for x in names for s in FAIL_ON[x]})
+
+
+def fails(reports: DataFrame, spec: str) -> DataFrame:
+    """(bib_id, fails): whether any entry has a status that ``spec`` asks for."""
+    return reports.groupBy("bib_id").agg(F.coalesce(F.bool_or(F.col("status").isin(*wanted(spec))), F.lit(False)).alias("fails"))
