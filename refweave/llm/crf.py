@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from refweave.llm import wordset
+from refweave.llm.shared import lean
 
 FEATURES = ("length", "word_length", "upper", "digit", "symbol", "bang", "pipe", "stop", "wide", "adjacent", "distinct", "again", "ends", "starts")
 SAMPLE = 6000  # labelled documents that training reads at most
@@ -223,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
                 blobs = [np.ascontiguousarray(features[:, a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "quality", "features"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, features binary").toPandas().sort_values(["doc_id", "features"])
+    got = lean(rows).mapInArrow(run, "doc_id long, quality int, features binary").toPandas().sort_values(["doc_id", "features"])
     parts, label = [], []
     for q, blob in zip(got["quality"], got["features"]):
         whole = np.frombuffer(blob, np.float32).reshape(len(FEATURES), -1)
@@ -242,7 +243,7 @@ def score(documents: DataFrame, model: Crf, carry: list[str] | None = None) -> D
     """
     carry = [c for c in (documents.columns if carry is None else carry) if c != "score"]
     read = list(dict.fromkeys([*carry, "text"]))
-    frame = documents.select(*read)
+    frame = lean(documents.select(*read))
 
     def run(batches):
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from refweave.llm.shared import stash
+from refweave.llm.shared import lean, stash
 
 SITES = 5
 LOG_K = 6  # 64 registers at most: a standard error of about 0.13 once a sketch is dense, none below
@@ -108,4 +108,4 @@ def drop_boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
                     columns["n_chars"] = pc.replace_with_mask(columns["n_chars"], pa.array(mask), pc.utf8_length(text).cast(columns["n_chars"].type))
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(dropped)], [*columns, "dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return lean(joined).mapInArrow(run, schema)

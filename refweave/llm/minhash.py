@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm import linking, wordset
-from refweave.llm.shared import passes, sieve, stash
+from refweave.llm.shared import lean, passes, sieve, stash
 
 PERMUTATIONS, BAND = 60, 5
 _RNG = np.random.default_rng(8128)
@@ -72,7 +72,7 @@ def sign(documents: DataFrame, width: int = 5) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo), bands], ["doc_id", "n_shingles", "hi", "lo", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
 def shingle_sets(documents: DataFrame, bits: np.ndarray, width: int = 5) -> DataFrame:
@@ -92,7 +92,7 @@ def shingle_sets(documents: DataFrame, bits: np.ndarray, width: int = 5) -> Data
             sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hi), pa.array(lo), sets], ["id", "hi", "lo", "payload"])
 
-    return documents.mapInArrow(run, "id long, hi long, lo long, payload array<long>")
+    return lean(documents).mapInArrow(run, "id long, hi long, lo long, payload array<long>")
 
 
 def jaccard_table(left: list, right: list, percent: int) -> np.ndarray:

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from refweave.llm.shared import lean
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: bit rates in kbit/s by index, sample rates in Hz.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -241,7 +243,7 @@ def store(documents: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     rows = documents.select(documents[key].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, media binary")
+    return lean(rows).mapInArrow(run, "doc_id long, media binary")
 
 
 def index(media: DataFrame) -> DataFrame:
@@ -268,4 +270,4 @@ def index(media: DataFrame) -> DataFrame:
                 rows.append((key, *facts, len(data), hashlib.sha256(data).hexdigest(), s.feature(), s.samples, s.rate, s.offsets))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], list(columns))
 
-    return media.mapInArrow(run, schema)
+    return lean(media).mapInArrow(run, schema)

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from refweave.llm import wordset
+from refweave.llm.shared import lean
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 512  # characters of a word from which on a heap takes the place of rounds over all words
 BATCH = 400_000  # characters that a suffix array indexes, or one longer word
-CACHE = 400_000  # words that a task remembers
+CACHE = 200_000  # words that a task remembers
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -334,19 +335,19 @@ def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = No
     def run(batches):
         matcher, speller = Matcher(pieces), Speller(pieces)
         for batch in batches:
-            for part in wordset.runs(batch, "text", 3 << 20):
+            for part in wordset.runs(batch, "text", 3 << 19):
                 column = part.column("text").to_pylist()
                 flat, start = matcher.encode(column)
                 ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in column]))
                 out = [*(part.column(c) for c in carry), ids]
                 if verify:
-                    every, cuts = flat.tolist(), start.tolist()
-                    spelled = [None if t is None else speller.decode(every[a:b]) for t, a, b in zip(column, cuts, cuts[1:])]
+                    cuts = start.tolist()
+                    spelled = [None if t is None else speller.decode(flat[a:b].tolist()) for t, a, b in zip(column, cuts, cuts[1:])]
                     out.append(pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in spelled], pa.string()))
                     out.append(pa.array([None if t is None else s == t.replace(MARK, " ") for s, t in zip(spelled, column)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return lean(frame).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, column: str = "text") -> DataFrame:
@@ -361,4 +362,4 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "text") -> DataF
             spelled = [None if x is None else speller.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.string())], [*batch.schema.names, column])
 
-    return frame.mapInArrow(run, schema)
+    return lean(frame).mapInArrow(run, schema)

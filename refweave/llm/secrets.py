@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.shared import maybe_among, sieve
+from refweave.llm.shared import lean, maybe_among, sieve
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
                 results.append([{"rule": wanted.index((k, v)), "kind": k, "version": v, "start": s, "end": e} for _, k, v, s, e in hits])
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(scanned, kind), pa.array(results, found)], ["blob", "rules", "found"])
 
-    fresh = blobs.mapInArrow(run, LEDGER).filter(F.size("rules") > 0)
+    fresh = lean(blobs).mapInArrow(run, LEDGER).filter(F.size("rules") > 0)
     results = fresh.select("blob", "found")
     if old is not None:
         results = results.union(old.select("blob", F.col("known").alias("found"))).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))

@@ -47,6 +47,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(frame: DataFrame) -> DataFrame:
+    """``frame``, about to be handed to Python with its texts: Arrow batches of the session become 8 MB where they have the default size.
+
+    A batch lies outside the executor's heap, once in the JVM and once in Python.
+    """
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH) in ("67108864b", "64MB", "64m"):
+        conf.set(BATCH, "8m")
+    return frame
+
+
 SLOTS = 8_388_593  # a prime; the bits take 1 MB
 
 
