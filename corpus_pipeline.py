@@ -14,6 +14,7 @@ from refweave.llm import crf, linespread, minhash, mixing, pieces
 from refweave.llm.shared import stash, table, without
 
 GOOD = 0.3  # documents with a lower score go
+NEAR = 80  # percent of shared shingles (Jaccard) from which documents are near-duplicates; op8's own contract says 85
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near-duplicates."""
-    gone = stash(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "duplicates")
+    gone = stash(minhash.near_duplicates(docs, percent=NEAR).filter("not kept").select("doc_id").distinct(), "duplicates")
     return without(docs, gone, "doc_id")
 
 

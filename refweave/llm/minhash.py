@@ -3,7 +3,7 @@
 Each permutation of the shingle hashes gives two signature values, its minimum
 and its maximum, so 60 permutations fill 24 bands of 5 values: 12 bands of
 minima and 12 of maxima. At Jaccard 0.85 a pair shares a band with probability
-1 - 1e-6. Documents with equal sets form one class; classes that share a band
+1 - 1e-6, at 0.80 with 1 - 7e-5. Documents with equal sets form one class; classes that share a band
 are linked (see ``linking``) if their full sets meet the threshold.
 """
 

@@ -56,7 +56,7 @@ def op9_suffix_pieces(spark, sf_dir):
 
 
 def op8_minmax_minhash(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict:

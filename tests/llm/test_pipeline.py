@@ -77,3 +77,35 @@ def test_run_and_empty(spark, tmp_path):
     for name in ("documents", "labels"):
         table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def near_at(rows, percent):
+    """Smallest key of each row's group at ``percent``, by brute force over all pairs."""
+    sets, root = {k: test_minhash.brute_set(t) for k, t in rows}, {k: k for k, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b]) if a < b else 0
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def test_near_dedup_takes_copies_from_0_80(spark):
+    texts = []
+    for base in range(12):
+        words = [f"w{base}x{i}" for i in range(54)]  # 50 shingles; k other words at the end leave 50 - k of 50 + k
+        texts += [" ".join(words), " ".join(words[:-4] + ["other"] * 4), " ".join(words[:-5] + ["else"] * 5), " ".join(words[:-6] + ["far"] * 6)]
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
+    at80, at85 = near_at([r[:2] for r in rows], 80), near_at([r[:2] for r in rows], 85)
+    want = {r[0] for r in rows if at80[r[0]] == r[0]}
+    assert want < {k for k, v in at85.items() if v == k}  # some copies lie between
+    got = [tuple(r) for r in pipeline.minhash_near_dedup(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(r for r in rows if r[0] in want)
