@@ -191,17 +191,20 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Frames of a stream. Bytes between frames are passed over; a frame found after a gap must be followed by a second one or the end."""
+    """Frames of a stream. Bytes between frames are passed over; a frame found after a gap must be followed by a second one or the end.
+
+    'TAG' 128 bytes before the end is an ID3v1 tag, unless a frame holds it and ends where the stream does.
+    """
     out = Stream()
     at, out.tags = _id3v2(data)
     end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
     synced, first = False, True
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        good = h is not None and at + h.size <= end
+        good = h is not None and (at + h.size <= end or at + h.size == len(data))
         if good and not synced:
             nxt = header(data[at + h.size : at + h.size + 4])
-            good = at + h.size == end or nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)
+            good = at + h.size in (end, len(data)) or nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)
         if not good:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
@@ -223,11 +226,14 @@ def parse(data: bytes) -> Stream:
 
 
 def unpack(data: bytes, stream: Stream | None = None) -> tuple[bytes, int]:
-    """The bytes that ``pack`` stored and their length before padding."""
+    """The bytes that ``pack`` stored and their length before padding. A stream that lost some of them is a ValueError."""
     s = stream or parse(data)
     size, length = map(int, s.tags["payload"].split("/"))
     parts = [data[o + HEAD : o + h.size] for o, h in zip(s.offsets, s.headers)]
-    return b"".join(parts)[:size], length
+    out = b"".join(parts)[:size]
+    if len(out) < size:
+        raise ValueError(f"payload of {size} bytes noted, {len(out)} found")
+    return out, length
 
 
 def pad(raw: bytes) -> bytes:
@@ -251,7 +257,7 @@ def index(media: DataFrame) -> DataFrame:
 
     The duration in seconds is exactly samples / rate. Null media and bytes
     without frames have no offsets; payload facts are null where ``pack`` did
-    not write the stream.
+    not write the stream, or frames of it are lost.
     """
     columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "frame_offsets")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate int, frame_offsets array<long>"
@@ -265,8 +271,11 @@ def index(media: DataFrame) -> DataFrame:
                 s = parse(data)
                 facts = (None,) * 4
                 if "payload" in s.tags:
-                    payload, length = unpack(data, s)
-                    facts = (length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                    try:
+                        payload, length = unpack(data, s)
+                        facts = (length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                    except ValueError:
+                        pass  # lost frames: wrong facts would be worse than none
                 rows.append((key, *facts, len(data), hashlib.sha256(data).hexdigest(), s.feature(), s.samples, s.rate, s.offsets))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], list(columns))
 

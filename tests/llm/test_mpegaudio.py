@@ -3,6 +3,8 @@ import random
 import struct
 import zlib
 
+import pytest
+
 from refweave.llm import mpegaudio as M
 from refweave.llm import registry
 from refweave.llm.shared import table
@@ -86,3 +88,26 @@ def test_whole_table(spark):
     assert len(got) == len(docs)
     for r in got:
         check(r, docs[r.doc_id])
+
+
+def test_payload_that_looks_like_a_tag(spark):
+    texts = ["TAG" * 40, "x" * 29 + "TAG" + "y" * 60]  # tail frame of 180 bytes: byte 29 of the text lies 128 before the end
+    for n in (65, 128, 1400, 1417, 1480, 5000, 50_000):
+        for shift in range(3):
+            texts.append(("TAG" * (n // 3 + 2))[shift : shift + n])
+    assert any(M.pack(M.pad(t.encode()))[-128:-125] == b"TAG" for t in texts[2:])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in M.index(M.store(df)).collect()}
+    for i, t in enumerate(texts):
+        check(rows[i], t)
+    media = M.pack(M.pad(texts[0].encode()))
+    tagged = media + b"TAG" + bytes(125)  # a tag of its own, after a payload that looks like one
+    assert M.unpack(tagged)[0] == M.pad(texts[0].encode()) and M.parse(tagged).skipped == 0
+
+
+def test_lost_payload_is_told(spark):
+    media = M.pack(b"payload!" * 1000, 8000)
+    with pytest.raises(ValueError):
+        M.unpack(media[:-5])
+    r = M.index(spark.createDataFrame([(1, bytearray(media[:-5]))], "doc_id long, media binary")).first()
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (None,) * 4 and len(r.frame_offsets) > 1
