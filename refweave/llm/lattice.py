@@ -24,10 +24,10 @@ from refweave.llm.shared import stash
 COSINE = 0.9
 SEED = 24061
 
-# (blocks, tables, probes, scale): at cosine 0.9 a pair meets with probability 0.99 in either.
-# The lattice's dimension follows the logarithm of the row count, so cells stay small.
-PLANS = ((2, 12, 4, 0.5625), (3, 20, 6, 0.5))
-DENSE = 1_000_000
+# (blocks, tables, probes, scale): at cosine 0.9 a pair meets with probability 0.99. One plan at every
+# size, so that links do not depend on the row count; three blocks keep cells small in large tables.
+PLAN = (3, 20, 6, 0.5)
+PLANS = (PLAN,)
 
 
 def _roots() -> np.ndarray:
@@ -167,7 +167,6 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     repeat a vec_id and its vector are one vector. Other columns are ignored.
     """
     vectors = stash(unit_vectors(embeddings).distinct(), "vectors")
-    plan = PLANS[vectors.count() > DENSE]
 
     def run(batches):
         for batch in batches:
@@ -177,7 +176,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
             for s in np.unique(sizes):
                 at = np.flatnonzero(sizes == s)
                 unit = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), s)
-                hashed = cells(unit, *plan)
+                hashed = cells(unit, *PLAN)
                 yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64).ravel()), pa.array(np.repeat(ids[at], hashed.shape[1]))], ["bucket", "id"])
 
     members = vectors.mapInArrow(run, "bucket long, id long").distinct()

@@ -91,3 +91,15 @@ def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
     got = {r[0]: tuple(r[1:]) for r in registry.op6_e8_lattice(spark, "/root/testdata/sf0.1").collect()}
     assert got == brute(rows)
+
+
+def test_links_do_not_depend_on_the_row_count(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1500):  # close to the threshold, where a plan misses one pair in a hundred
+        base = rng.normal(size=64)
+        rows += [(2 * i, floats(base)), (2 * i + 1, floats(near(rng, base, 0.9005)))]
+    some = run(spark, rows)
+    assert sum(v[0] for v in some.values()) >= 0.97 * len(rows)
+    monkeypatch.setattr(lattice, "DENSE", 10, raising=False)  # as if the table were a large one
+    assert run(spark, rows) == some
