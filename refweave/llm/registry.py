@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from refweave.llm import crf, lattice, linespread, minhash, mixing, mpegaudio, pieces, secrets, urltrees, warc
-from refweave.llm.shared import table
+from refweave.llm.shared import own_dir, table
 
 
 def op1_secret_ledger(spark, sf_dir):
+    """The even ids are scanned into a new ledger, then all documents: that scan takes what the ledger lacks."""
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    return secrets.summary(secrets.scan_history(versions).paths)
+    ledger = f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secrets.scan_into(versions.filter(F.col("path") % 2 == 0), ledger)
+    return secrets.summary(secrets.scan_into(versions, ledger))
 
 
 def op2_warc_chains(spark, sf_dir):

@@ -86,3 +86,14 @@ def test_whole_table(spark):
     for d in docs:
         r = got[d.doc_id]
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == brute(d.text)
+
+
+def test_query_goes_by_a_ledger(spark, monkeypatch):
+    ledgers, scan_into = [], secrets.scan_into
+    monkeypatch.setattr(secrets, "scan_into", lambda versions, path: ledgers.append(path) or scan_into(versions, path))
+    sf = "/root/testdata/sf0.001"
+    got = registry.op1_secret_ledger(spark, sf).collect()
+    docs = table(spark, sf, "documents").selectExpr("doc_id path", "0 version", "text content")
+    assert sorted(map(repr, got)) == sorted(map(repr, secrets.summary(secrets.scan_history(docs).paths).collect()))
+    assert len(ledgers) == 2 and len(set(ledgers)) == 1
+    assert secrets.read_ledger(spark, ledgers[0]).count() == len({r.blob_sha256 for r in got})  # no blob twice
