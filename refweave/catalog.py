@@ -170,6 +170,13 @@ def worst_status(spark, sf_dir):
     return verdict.summary(_reports(spark, sf_dir)).select("bib_id", "worst_status")
 
 
+@query()
+def title_verdicts(spark, sf_dir):
+    """As ``entry_verdict``, with the title search over the works for entries without a DOI."""
+    found = resolve(entry_facts(T.entries(spark, sf_dir)), T.works(spark, sf_dir))
+    return verdict.entry_reports(found, rules.entry_problems(found)).select("bib_id", "ord", "key", "status")
+
+
 @query(f"WITH {E} SELECT bib_id, bool_or(status IN ('critical', 'warn', 'network_error')) AS fails FROM v GROUP BY bib_id")
 def fail_on(spark, sf_dir):
     return verdict.fails(_reports(spark, sf_dir), "warn,error")

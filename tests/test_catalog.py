@@ -4,9 +4,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from refweave import catalog
+from refweave.operators.project import entry_facts
+from refweave.operators.resolve import FACTS, FLAGS, best_match
+from refweave.plans import tables as T
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,3 +49,18 @@ def test_entry(spark):
 
 def test_names_agree():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_title_verdicts_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    got, by_doi = ({(r.bib_id, r.ord): r.status for r in f(spark, sf).collect()} for f in (catalog.queries()["title_verdicts"], catalog.entry_verdict))
+    untied = entry_facts(T.entries(spark, sf)).filter("doi is null")
+    known = T.works(spark, sf).filter("title is not null").select(F.xxhash64("doi").alias("pos"), F.struct(*FACTS, *FLAGS).alias("known"))
+    pairs = untied.select("bib_id", "ord").repartition(8).crossJoin(F.broadcast(known))
+    brute = {(r.bib_id, r.ord): r.outcome for r in best_match(untied, pairs).collect()}
+    assert set(got) == set(by_doi) and set(brute.values()) == {"found", "not_found"}
+    for k, status in got.items():
+        if k in brute:
+            assert (status == "unresolved") == (brute[k] == "not_found"), k
+        else:
+            assert status == by_doi[k], k
