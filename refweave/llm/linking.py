@@ -6,10 +6,13 @@ gathered whole and no list of its pairs is made:
 
 1. star: every member is tested against the smallest id of its bucket;
 2. components of the links so far, by alternating large and small stars;
-3. only buckets whose members lie in several components go on. Their largest
-   component is cut into blocks and the rest into blocks; tiles of two blocks,
-   of which one at least is of the rest, are tested by matrix arithmetic. A
-   tile returns at most as many edges as it has rows.
+3. only buckets whose members lie in several components go on. The caller may
+   deal the crowded ones of these to finer buckets that lose no link, and the
+   first two steps are run on them again;
+4. of what is left, the largest component of a bucket is cut into blocks and
+   the rest into blocks; tiles of two blocks, of which one at least is of the
+   rest, are tested by matrix arithmetic. A tile returns at most as many edges
+   as it has rows.
 
 Every pair that shares a bucket is thus tested, or is known to lie in one
 component already.
@@ -24,40 +27,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refweave.llm.shared import stash
+from refweave.llm.shared import join_salted, scratch, stash
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): the smallest id that links reach.
 
     Large-star and small-star rounds on the edge list until it no longer
-    changes; each round is written to the shared folder. An empty edge list
-    gives an empty frame.
+    changes; each round is written to the shared folder. A centre of very many
+    edges is dealt over many tasks. An empty edge list gives an empty frame.
     """
+    spark = edges.sparkSession
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    current = stash(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    seen = mark(current)
-    while seen[0]:
-        both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = (
-            small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(small.select("a", F.col("m").alias("b")))
-            .distinct()
+    with scratch(spark) as made:
+        current = stash(
+            edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
         )
-        current = stash(small, "edges")
-        now = mark(current)
-        if now == seen:
-            break
-        seen = now
+        seen = mark(current)
+        while seen[0]:
+            both = current.union(current.select("b", "a"))
+            least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+            large = join_salted(both, least, ["a"], "degree", ["b"], 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # A node has few smaller neighbours here, one for each star that it was in.
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a")
+            small = (
+                small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                .union(small.select("a", F.col("m").alias("b")))
+                .distinct()
+            )
+            current = stash(small, "edges")
+            now = mark(current)
+            if now == seen:
+                break
+            seen = now
+        made.pop()
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
@@ -115,41 +122,57 @@ def blocks_of(n: Column, block: int) -> Column:
     return F.ceil(n / F.lit(float(block))).cast("int")
 
 
-def link_buckets(
-    members: DataFrame,
-    items: Callable[[DataFrame], DataFrame],
-    star_test: Callable[[Column, Column], Column],
-    tile_test: Callable[[list, list], np.ndarray],
-    block: int = 256,
-) -> DataFrame:
-    """Components (id, component) of the linked ids; ids without links are absent.
+STAR = 512  # members of a bucket that meet one copy of its lead
 
-    ``members`` (bucket long, id long) holds a row at most once. ``items`` gives
-    (id, payload) for the ids of a frame. ``star_test`` judges a pair in SQL and
-    ``tile_test`` two lists of payloads at once, with the same outcome.
+
+def _live(members: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, id, lead, n) of the buckets that hold two members or more, and the number of these rows."""
+    heads = stash(members.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "heads")
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    return stash(join_salted(members, heads, ["bucket"], "n", ["id"], total).select("bucket", "id", "lead", "n"), "live"), total
+
+
+def _star(live: DataFrame, total: int, payload: DataFrame, star_test: Callable, known: DataFrame | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """Components after every member met its bucket's lead, and the rows of buckets that lie in several of them.
+
+    These have (bucket, id, c, main, bm, br): own component, the bucket's
+    largest, and the number of blocks of that and of the rest. ``known``
+    (id, component): links found before; their pairs are not tested again.
     """
-    heads = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = stash(members.join(heads, "bucket").select("bucket", "id", "lead", "n"), "live")
-    payload = stash(items(live.select("id").distinct()), "items")
-    star = live.filter("id <> lead").select("id", "lead").distinct()
+    pairs = live.filter("id <> lead").groupBy("id", "lead").agg(F.max("n").alias("n"))
+    if known is not None:
+        lead = known.select(F.col("id").alias("lead"), F.col("component").alias("cl"))
+        pairs = pairs.join(known, "id", "left").join(lead, "lead", "left").filter(F.coalesce("component", "id") != F.coalesce("cl", "lead")).select("id", "lead", "n")
+    # The payload of a lead is copied for every STAR members, so that no task meets all of a hot bucket.
+    copies = F.ceil(F.col("n") / float(STAR)).cast("int")
+    star = pairs.withColumn("part", F.pmod(F.xxhash64("id"), copies).cast("int"))
+    leads = live.groupBy("lead").agg(F.max("n").alias("n")).join(payload.select(F.col("id").alias("lead"), F.col("payload").alias("two")), "lead")
+    leads = leads.select("lead", "two", F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
     tested = (
         star.join(payload.withColumnRenamed("payload", "one"), "id")
-        .join(payload.select(F.col("id").alias("lead"), F.col("payload").alias("two")), "lead")
+        .join(leads, ["lead", "part"])
         .filter(star_test(F.col("one"), F.col("two")))
         .select(F.col("lead").alias("a"), F.col("id").alias("b"))
     )
+    if known is not None:
+        tested = tested.union(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     first = stash(connected_components(tested), "components")
 
-    placed = live.filter("n > 2").join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    placed = stash(placed, "placed")
+    placed = stash(live.filter("n > 2").join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
     parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     split = (
         parts.groupBy("bucket")
         .agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1")
-        .select("bucket", F.col("top.c").alias("main"), blocks_of(F.col("top.k"), block).alias("bm"), blocks_of(F.col("n") - F.col("top.k"), block).alias("br"))
+        .select("bucket", "n", F.col("top.c").alias("main"), blocks_of(F.col("top.k"), block).alias("bm"), blocks_of(F.col("n") - F.col("top.k"), block).alias("br"))
     )
-    rows = placed.join(split, "bucket")
+    split = stash(split, "split")
+    rows = join_salted(placed, split, ["bucket"], "n", ["id"], total).select("bucket", "id", "c", "main", "bm", "br")
+    return first, stash(rows, "open")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(bucket, id, c, x, y, side): the rows of buckets in several components, once for each tile of two blocks that they belong to."""
     inside = F.col("c") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(inside, F.col("bm")).otherwise(F.col("br"))).cast("int")
     rows = rows.withColumn("inside", inside).withColumn("own", own)
@@ -162,7 +185,35 @@ def link_buckets(
             F.transform(F.sequence(F.lit(0), F.col("bm") - 1), lambda m: F.struct(F.col("own").alias("x"), (-m - 1).alias("y"), F.lit(0).alias("side"))),
         )
     )
-    dealt = rows.select("bucket", "id", "c", F.explode(tiles).alias("t")).select("bucket", "id", "c", "t.*").join(payload, "id")
+    return rows.select("bucket", "id", "c", F.explode(tiles).alias("t")).select("bucket", "id", "c", "t.*")
+
+
+def link_buckets(
+    members: DataFrame,
+    items: Callable[[DataFrame], DataFrame],
+    star_test: Callable[[Column, Column], Column],
+    tile_test: Callable[[list, list], np.ndarray],
+    block: int = 256,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Components (id, component) of the linked ids; ids without links are absent.
+
+    ``members`` (bucket long, id long) holds a row at most once. ``items`` gives
+    (id, payload) for the ids of a frame. ``star_test`` judges a pair in SQL and
+    ``tile_test`` two lists of payloads at once, with the same outcome.
+    ``refine`` deals the rows (bucket, id, payload) of crowded buckets, those of
+    more than two blocks in several components, to finer ones (bucket, id) in
+    which every pair that links still meets.
+    """
+    live, total = _live(members)
+    payload = stash(items(stash(live.select("id").distinct(), "ids")), "items")
+    found, rows = _star(live, total, payload, star_test, None, block)
+    if refine is not None:
+        crowded = rows.filter("bm + br > 2").select("bucket", "id")
+        if not crowded.isEmpty():
+            finer, many = _live(refine(crowded.join(payload, "id").select("bucket", "id", "payload")))
+            found, more = _star(finer, many, payload, star_test, found, block)
+            rows = rows.filter("bm + br <= 2").union(more)
 
     def verify(batches):
         edges: list[tuple[int, int]] = []
@@ -181,10 +232,11 @@ def link_buckets(
         if edges:
             yield pd.DataFrame(edges, columns=["a", "b"])
 
+    dealt = _dealt(rows).join(payload, "id")
     more = stash(
         dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInPandas(verify, "a long, b long"),
         "more",
     )
     if more.isEmpty():
-        return first
-    return connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        return found
+    return connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

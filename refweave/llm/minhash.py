@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm import linking, wordset
-from refweave.llm.shared import lean, passes, sieve, stash
+from refweave.llm.shared import join_salted, lean, maybe_among, passes, scratch, sieve, spare, stash, without
 
 PERMUTATIONS, BAND = 60, 5
 _RNG = np.random.default_rng(8128)
@@ -24,7 +24,7 @@ _MUL = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
 _FOLD = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
-SIGNED = "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
+SIGNED = "doc_id long, mark long, n_shingles long, hi long, lo long, bands array<long>"
 
 
 def _sets(batches, column, width):
@@ -55,8 +55,13 @@ def _bands(values, starts):
     return out.view(np.int64)
 
 
+def mark_of(text: Column) -> Column:
+    """With the doc_id, what tells rows apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sign(documents: DataFrame, width: int = 5) -> DataFrame:
-    """A row per document: size and 128-bit fingerprint of its shingle set, and its bands (null if empty)."""
+    """A row per document: ``mark_of`` its text, size and 128-bit fingerprint of its shingle set, and its bands (none if empty)."""
 
     def run(batches):
         for part, values, begin in _sets(batches, "text", width):
@@ -70,17 +75,19 @@ def sign(documents: DataFrame, width: int = 5) -> DataFrame:
                 flat = _bands(values, starts).ravel()
             offsets = np.concatenate(([0], np.cumsum(np.where(full, per, 0)))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo), bands], ["doc_id", "n_shingles", "hi", "lo", "bands"])
+            columns = [part.column("doc_id"), part.column("mark"), pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "hi", "lo", "bands"])
 
-    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return lean(rows).mapInArrow(run, SIGNED)
 
 
 def shingle_sets(documents: DataFrame, bits: np.ndarray, width: int = 5) -> DataFrame:
-    """(id, hi, lo, payload): the full sets, as sorted 64-bit hashes, of documents (id, text) that pass the sieve ``bits``."""
+    """(doc_id, hi, lo, payload): the full sets, as sorted 64-bit hashes, of documents (doc_id, text) that pass the sieve ``bits``."""
 
     def sifted(batches):
         for batch in batches:
-            ids = batch.column("id")
+            ids = batch.column("doc_id")
             yield batch.filter(pc.and_(ids.is_valid(), pa.array(passes(bits, ids.fill_null(0).to_numpy()))))
 
     def run(batches):
@@ -90,9 +97,9 @@ def shingle_sets(documents: DataFrame, bits: np.ndarray, width: int = 5) -> Data
             if full.any():
                 hi[full], lo[full] = _fingerprint(values, begin[:-1][full])
             sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hi), pa.array(lo), sets], ["id", "hi", "lo", "payload"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hi), pa.array(lo), sets], ["doc_id", "hi", "lo", "payload"])
 
-    return lean(documents).mapInArrow(run, "id long, hi long, lo long, payload array<long>")
+    return lean(documents).mapInArrow(run, "doc_id long, hi long, lo long, payload array<long>")
 
 
 def jaccard_table(left: list, right: list, percent: int) -> np.ndarray:
@@ -122,32 +129,95 @@ def jaccard_table(left: list, right: list, percent: int) -> np.ndarray:
     return 100 * common >= percent * (na[:, None] + nb[None, :] - common)
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5, block: int = 128) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text, ...).
+def _finer(percent: int):
+    """Buckets by rare shingle: of two sets that reach ``percent``, the prefixes share a shingle, so no link is lost.
 
-    Null or blank texts have an empty set and link with nothing. Rows that
-    repeat a doc_id with another text are each judged by their own text. Rows with a null doc_id link with nothing; their
-    component_id is null and they are kept. Other columns are ignored.
+    A set of n shingles has ceil(percent * n / 100) in common with such a
+    partner, so they share one of their n + 1 less that rarest. Rarity is counted
+    within the bucket, so what all its documents have, as a template's words,
+    brings none of them together.
     """
+
+    def refine(rows: DataFrame) -> DataFrame:
+        held = rows.select("bucket", "id", F.explode("payload").alias("s"))
+        often = held.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("k"))
+        total = held.count()
+        ranked = join_salted(held, often, ["bucket", "s"], "k", ["id"], total).groupBy("bucket", "id").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("all"))
+        prefix = F.size("all") - F.ceil(percent * F.size("all") / 100.0).cast("int") + 1
+        cut = ranked.select("bucket", "id", F.explode(F.slice("all", F.lit(1), prefix)).alias("t")).filter("t.k > 1")
+        return cut.select(F.xxhash64("bucket", "t.s").alias("bucket"), "id").distinct()
+
+    return refine
+
+
+def _grouped(documents: DataFrame, percent: int, width: int, block: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, class, component_id) of every row; ``class`` names the group, null where a row links with nothing."""
     signed = stash(sign(documents, width), "signed")
     rows = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stash(
-        rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")), "classes"
-    )
+    listed = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    # The number of a class is none of its documents' ids, which may repeat with other texts. It is fixed once written.
+    classes = stash(listed.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", F.explode("bands").alias("bucket")).select("bucket", "id").distinct()
 
     def items(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("id", "hi", "lo")
-        texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        return shingle_sets(texts, sieve(ids), width).join(wanted, ["id", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi", "lo"]).select("id", "payload")
+        wanted = stash(classes.join(ids, "id").select("id", "first", "hi", "lo"), "wanted")
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        sets = shingle_sets(texts, sieve(wanted, "first"), width)
+        return sets.join(wanted.withColumnRenamed("first", "doc_id"), ["doc_id", "hi", "lo"]).dropDuplicates(["id"]).select("id", "payload")
 
     def star_test(one, two):
         common = F.size(F.array_intersect(one, two))
         return 100 * common >= percent * (F.size(one) + F.size(two) - common)
 
-    found = linking.link_buckets(members, items, star_test, lambda a, b: jaccard_table(a, b, percent), block)
-    placed = classes.select("hi", "lo", "id").join(found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
-    out = signed.join(placed, ["hi", "lo"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with scratch(documents.sparkSession) as made:
+        found = linking.link_buckets(members, items, star_test, lambda a, b: jaccard_table(a, b, percent), block, _finer(percent))
+        found = stash(found, "found")
+        made.pop()
+    placed = classes.select("hi", "lo", "first", "rows", "id").join(found, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    least = placed.filter("component is not null").groupBy("class").agg(F.min("first").alias("least"))
+    placed = placed.join(least, "class", "left").select("hi", "lo", "rows", "class", F.coalesce("least", "first").alias("component_id"))
+    # Classes of one row that link with nothing are placed by themselves; only the others are looked up.
+    out = join_salted(rows, placed, ["hi", "lo"], "rows", ["doc_id"], rows.count()).select("doc_id", "mark", "n_shingles", "class", "component_id")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
+    return out.union(alone)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5, block: int = 128) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text, ...).
+
+    Null or blank texts have an empty set and link with nothing. Rows that
+    repeat a doc_id are each judged by their own text, and so may differ in
+    component_id and kept. Rows with a null doc_id link with nothing; their
+    component_id is null and they are kept. Other columns are ignored; an empty
+    table gives an empty frame.
+    """
+    out = _grouped(documents, percent, width, block)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(documents: DataFrame, percent: int = 80, width: int = 5, block: int = 128) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates: that of the smallest doc_id, whatever its text.
+
+    Where that doc_id repeats within the group, the row with the smallest hash of
+    its text stays, and of rows that repeat both, the one with the smallest
+    other columns. Rows that repeat a doc_id with unlike texts are in groups of
+    their own. Null and blank texts and rows with a null doc_id all stay. Any
+    other columns pass through; an empty table gives an empty frame.
+    """
+    rows = stash(_grouped(documents, percent, width, block).filter("class is not null"), "grouped")
+    # A row here for each text of the smallest doc_id of a group; nearly always one.
+    own = stash(rows.filter("doc_id = component_id").groupBy("doc_id", "class", "mark").agg(F.count(F.lit(1)).alias("n")), "own")
+    heads = own.groupBy("doc_id", "class").agg(F.min("mark").alias("least"), F.max("mark").alias("most"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    both = stash(own.join(heads, ["doc_id", "class"]), "repeated")
+    gone = rows.filter("doc_id <> component_id").select("doc_id", "mark").union(both.filter("mark <> least").select("doc_id", "mark"))
+    key, mark = F.col("doc_id").cast("long"), mark_of(F.col("text"))
+    left = without(documents, stash(gone.distinct(), "gone"), key, mark)
+    again = both.filter("mark = least and n > 1").select("doc_id", "mark").distinct()
+    if again.isEmpty():
+        return left
+    # Rows that repeat doc_id and text: one of each stays.
+    one, two, whole = spare(documents, "one", "two", "whole")
+    bits = sieve(again.select(F.xxhash64("doc_id", "mark").alias("id")))
+    some = left.withColumn(one, key).withColumn(two, mark).filter(maybe_among(bits, F.xxhash64(one, two)))
+    first = some.groupBy(one, two).agg(F.min(F.struct(*documents.columns)).alias(whole)).join(again.toDF(one, two), [one, two], "left_semi")
+    return without(left, again, key, mark).union(first.select(f"{whole}.*"))

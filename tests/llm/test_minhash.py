@@ -79,6 +79,52 @@ def test_null_and_repeated_ids(spark):
     assert [tuple(r) for r in got if r[0] is None] == [(None, 2, None, True)]
 
 
+TEXT_A, TEXT_B = "words of a first text that is like no other text here at all", " ".join(f"b{i}" for i in range(60))
+NEAR_B = TEXT_B.replace("b59", "other")
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(4, TEXT_A), (4, TEXT_B), (2, NEAR_B), (9, TEXT_B), (4, TEXT_A)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    a = len(brute_set(TEXT_A))
+    assert got == sorted([(4, a, 4, True), (4, 56, 2, False), (2, 56, 2, True), (9, 56, 2, False), (4, a, 4, True)])
+
+
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    names = "doc_id long, text string, key0 string, _maybe int, _id string"
+    rows = [(4, TEXT_A, "x", 1, None), (4, TEXT_A, "w", 2, None), (4, TEXT_A, "x", 1, None), (4, TEXT_B, "y", 1, "i"), (2, NEAR_B, None, None, None), (9, TEXT_B, "z", 1, "i"), (2, NEAR_B + " tail", "q", 0, None)]
+    rows += [(None, TEXT_B, "n", 1, None), (None, TEXT_B, "n", 1, None), (11, None, "e", 1, None), (11, "", "e", 1, None), (11, " ", "e", 1, None), (12, TEXT_A[::-1], "e", 1, None)]
+    df = spark.createDataFrame(rows, names)
+    out = minhash.deduplicate(df)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns
+    heads = [r for r in rows if r[0] == 2]
+    assert sum(r in got for r in heads) == 1
+    want = [(4, TEXT_A, "w", 2, None), *(r for r in got if r in heads), *rows[7:]]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_template_bucket_is_refined(spark, monkeypatch):
+    # Unlike documents that all hold a template meet in its bands; prefixes by rare shingles set them apart.
+    rng = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(60))
+    texts = [template + " " + " ".join(f"u{k}x{rng.randrange(10**9)}" for _ in range(30)) for k in range(150)]
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:40]]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    calls = []
+    finer = minhash._finer
+    monkeypatch.setattr(minhash, "_finer", lambda percent: lambda f: calls.append(1) or finer(percent)(f))
+    assert run(spark, rows, block=8) == brute([r[:2] for r in rows])
+    assert calls
+    held = spark.createDataFrame([(1, i, sorted(hash(x) for x in brute_set(t))) for i, t in enumerate(texts)], "bucket long, id long, payload array<long>")
+    met = {}
+    for r in finer(85)(held).collect():
+        met.setdefault(r.bucket, set()).add(r.id)
+    pairs = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
+    assert {(i, 150 + i) for i in range(40)} <= pairs and len(pairs) < 400  # of 17955
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
