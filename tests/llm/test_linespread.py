@@ -45,6 +45,21 @@ def test_spread_and_keeper(spark):
         assert sorted(run(spark, rows, sites=sites), key=key) == sorted(brute(rows, sites), key=key)
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    shared = "a line of many sites"
+    rows = [(i, f"s{i}", f"{shared}\nown {i}") for i in range(1, 8)]
+    rows += [(3, "s3", "precious one\nprecious two"), (3, "s9", "precious one\nprecious two"), (1, "s1", f"{shared}\nown 1"), (5, "s5", f"more\n{shared}")]
+    df = spark.createDataFrame([(*r, "d", "g", 7, "m") for r in rows], "doc_id long, source string, text string, dropped string, gone string, _gone int, mark string")
+    out = linespread.drop_boilerplate(df, count="lost")
+    assert out.columns == [*df.columns, "lost"]
+    got = sorted((r.doc_id, r.text, r.lost, r.dropped, r.gone, r._gone, r.mark) for r in out.collect())
+    want = []
+    for i, s, t in rows:
+        kept = t if i == 1 else t.replace(f"{shared}\n", "").replace(f"\n{shared}", "")
+        want.append((i, kept, int(kept != t), "d", "g", 7, "m"))
+    assert got == sorted(want)
+
+
 def test_hot_line_on_one_site(spark):
     rows = [(i, "hot", "same words\ntail") for i in range(300)] + [(300 + i, f"s{i}", "same words") for i in range(3)]
     assert sorted(run(spark, rows), key=key) == sorted(brute(rows, 5), key=key)
