@@ -5,9 +5,11 @@ outright; the fraction is rounded by pivotal steps: two documents with open
 fractions exchange words at random until one of them is taken or left, and the
 other goes on with what remains. Steps run within hashed buckets of a source;
 one open document a bucket moves up, and the buckets meet in a tree, so no task
-sees more than a bucket. A source is left with one open document at most; its
-whole copy is rounded to the nearer side, while ``taken`` counts the very words
-that are still due, a part of a copy.
+sees more than a bucket. A source is left with one open document at most, which
+goes to its nearer side. The words that this is too many or too few are made
+good by documents of the source that change sides: a few of every magnitude are
+candidates. Rows that repeat doc_id, text
+and source are rounded as one document of several copies.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from refweave.llm.shared import stash
+from refweave.llm.shared import maybe_among, sieve, spare, stash
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
 BUCKET = 1_000  # rows that a bucket of the lowest level has on average
 FAN = 16  # buckets that meet in one of the next level
 SEED = 20240517
+CHOICE = 16  # documents of each magnitude, and of each side, that may make good a residual
 
 
 def word_count(text: Column) -> Column:
@@ -135,40 +138,109 @@ def _round_level(seed: int):
 
 
 def mark_of(seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("source"))
 
 
 def take(documents: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``documents``, each as often as ``mixed``, the outcome of ``mix`` with this seed, has copies of it.
 
-    Rows that repeat both doc_id and text get the mean of their copies, rounded up.
+    Rows that repeat doc_id, text and source share their copies in the order of
+    their other columns. Any other columns pass through, whatever their names;
+    an empty table gives an empty frame.
     """
-    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = documents.withColumn("_own", mark_of(seed))
-    joined = rows.join(copies.hint("shuffle_hash"), (F.col("_own") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)
+    names = documents.columns
+    mark, copies, rows, n, before = spare(documents, "mark", "copies", "rows", "n", "before")
+    shares = mixed.groupBy(F.col("mark").alias(mark)).agg(F.sum("copies").cast("long").alias(copies), F.count(F.lit(1)).alias(rows)).filter(F.col(copies) > 0)
+    shares = stash(shares, "copies")
+    marked = documents.withColumn(mark, mark_of(seed))
+    plain = marked.join(shares.filter(F.col(rows) == 1).hint("shuffle_hash"), mark).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)
+    many = shares.filter(F.col(rows) > 1)
+    if many.isEmpty():
+        return plain
+    # Equal rows become one with their number, so no task meets all copies of one.
+    bits = sieve(many.select(F.col(mark).alias("id")))
+    equal = marked.filter(maybe_among(bits, F.col(mark))).groupBy(mark, *names).agg(F.count(F.lit(1)).alias(n)).join(many, mark)
+    order = Window.partitionBy(mark).orderBy(*names)
+    equal = equal.withColumn(before, F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    first = F.coalesce(F.col(before), F.lit(0))
+    extra = F.least(F.greatest(F.col(copies) % F.col(rows) - first, F.lit(0)), F.col(n))
+    whole = F.floor(F.col(copies) / F.col(rows)) * F.col(n) + extra
+    return plain.union(equal.withColumn(n, whole.cast("long")).filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*names))
+
+
+def amends(short: int, up: list[tuple[int, int]], down: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(mark, 1 or -1) of documents that change sides, so that ``short`` missing words (negative: too many) come near 0.
+
+    ``up`` and ``down`` are (size, mark) of documents that may be taken once
+    more or once less. The largest that fit go first; then pairs of one up and
+    one down, the best first, as long as they bring the rest nearer to 0.
+    """
+    step, pool = (1, up) if short > 0 else (-1, down)
+    left, out = abs(short), []
+    for size, mark in sorted(pool, reverse=True):
+        if size <= left:
+            left -= size
+            out.append((mark, step))
+    left, used = left * step, {m for m, _ in out}
+    a, b = (sorted(x for x in pool if x[1] not in used) for pool in (up, down))
+    while left and a and b:
+        rest = np.abs(left - np.array([x[0] for x in a])[:, None] + np.array([x[0] for x in b])[None, :])
+        i, j = np.unravel_index(int(rest.argmin()), rest.shape)
+        if rest[i, j] >= abs(left):
+            break
+        left += b[j][0] - a[i][0]
+        out += [(a.pop(i)[1], 1), (b.pop(j)[1], -1)]
+    return out
+
+
+def _made_good(rows: DataFrame, seed: int) -> DataFrame:
+    """(skey, mark, step): changes of sides by which each source's words come nearest to its target.
+
+    ``rows`` has skey, mark, unit, taken, target and open ends: ``up`` where a row may be taken once more, ``down`` once less.
+    """
+    due = rows.groupBy("skey").agg(F.round(F.first("target") - F.sum("taken")).cast("long").alias("short")).filter("short <> 0")
+    kind = F.when(F.col("up"), 1).when(F.col("down"), -1)
+    cell = F.pmod(F.xxhash64("mark"), F.lit(CHOICE))
+    # One row of each cell: a few of every magnitude, found by map-side minima.
+    some = (
+        rows.withColumn("kind", kind).filter("kind is not null and unit > 0")
+        .groupBy("skey", "kind", F.floor(F.log2("unit")).alias("magnitude"), cell.alias("cell"))
+        .agg(F.min(F.struct(F.xxhash64(F.lit(seed), "mark").alias("draw"), "mark", "unit")).alias("one"))
+    )
+    asked = some.join(due, "skey").groupBy("skey", "short").agg(F.sort_array(F.collect_list(F.struct("kind", "one.unit", "one.mark"))).alias("pool"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for skey, short, pool in zip(batch["skey"], batch["short"], batch["pool"]):
+                sides = {k: [(p["unit"], p["mark"]) for p in pool if p["kind"] == k] for k in (1, -1)}
+                out += [(skey, mark, step) for mark, step in amends(short, sides[1], sides[-1])]
+            yield pd.DataFrame(out, columns=["skey", "mark", "step"])
+
+    return asked.mapInPandas(run, "skey long, mark long, step int")
 
 
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (doc_id by default) with size, source_size, target, copies and taken, a row per document.
+    """``carry`` columns (doc_id by default) with mark, size, source_size, target, copies and taken, a row per document.
 
-    Null texts and texts without words have size 0 and are taken 0 times; a null
+    ``taken`` is copies times size, the very words that ``take`` gives. Null
+    texts and texts without words have size 0 and are taken 0 times; a null
     source is a source of its own; null and repeated doc_ids are rounded like
-    others, with hashes of all of a row's values to tell them apart. Draws depend
-    on the seed and the rows, not on how the rows are dealt out. An empty table
-    gives an empty frame.
+    others, with hashes of all of a row's values to tell them apart. Rows that
+    are equal in doc_id, text, source and ``carry`` differ by one copy at most.
+    Draws depend on the seed and the rows, not on how the rows are dealt out.
+    Other columns are ignored; an empty table gives an empty frame.
     """
     carry = carry or ["doc_id"]
     base = documents.select(*carry, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), mark_of(seed).alias("mark"))
-    base = stash(base, "sizes")
-    shares = stash(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
+    base = stash(base.groupBy(*carry, "source", "size", "mark").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    shares = stash(targets(base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, cap), "targets")
     n = base.count()
     levels = max(0, math.ceil(math.log(max(1.0, n / BUCKET), FAN)))
     joined = base.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio + 1e-12)
-    p = F.when(F.col("size") > 0, F.greatest(ratio - whole, F.lit(0.0))).otherwise(0.0)
-    joined = joined.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0).cast("int")).withColumn("p", p)
+    ratio = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size") * F.col("rows")).otherwise(0.0)
+    joined = joined.withColumn("p", ratio).withColumn("whole", F.floor(F.col("p") + 1e-12).cast("long")).withColumn("p", F.greatest(F.col("p") - F.col("whole"), F.lit(0.0)))
+    joined = joined.withColumn("broken", (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9))
     joined = joined.withColumn("skey", F.xxhash64(F.lit("s"), "source")).withColumn("bucket", F.pmod("mark", F.lit(FAN**levels)).cast("long")).withColumn("open", F.lit(False))
     open_now = joined
     schema = StructType([*open_now.schema.fields])
@@ -179,16 +251,16 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed:
         rows = stash(rows, "rounded")
         settled.append(rows.filter("not open"))
         open_now = rows.filter("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
-    settled.append(open_now)
-    out = settled[0]
-    for more in settled[1:]:
+    out = open_now
+    for more in settled:
         out = out.union(more)
-    return out.select(
-        *carry,
-        "mark",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.when(F.col("open"), F.when(F.col("p") >= 0.5, 1).otherwise(0)).otherwise(F.col("p").cast("int"))).cast("int").alias("copies"),
-        F.when(F.col("open"), F.round(F.col("p") * F.col("size")) + F.col("whole") * F.col("size")).otherwise((F.col("whole") + F.col("p")) * F.col("size")).cast("long").alias("taken"),
-    )
+    # Settled fractions are 0 or 1; the last open one of a source goes to its nearer side.
+    out = out.withColumn("extra", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+    out = stash(out.withColumn("total", F.col("whole") + F.col("extra")), "settled")
+    able = F.col("broken")
+    ends = out.select("skey", "mark", "target", F.col("size").alias("unit"), (F.col("total") * F.col("size")).alias("taken"), (able & (F.col("extra") == 0)).alias("up"), (able & (F.col("extra") == 1)).alias("down"))
+    steps = stash(_made_good(ends, seed), "steps")
+    out = out.join(steps, ["skey", "mark"], "left").withColumn("total", F.col("total") + F.coalesce("step", F.lit(0)))
+    each = out.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    copies = (F.floor(F.col("total") / F.col("rows")) + (F.col("k") < F.col("total") % F.col("rows")).cast("int")).cast("int")
+    return each.select(*carry, "mark", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
