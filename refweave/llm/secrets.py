@@ -12,10 +12,10 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm.shared import lean, maybe_among, sieve
+from refweave.llm.shared import join_salted, lean, maybe_among, sieve, stash
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,12 @@ def find(text: str, rules: tuple[Rule, ...] = RULES, compiled: list | None = Non
     return out
 
 
+def merged() -> Column:
+    """All that several scans of a blob found, each finding once: its number among the rules of a scan is not part of it."""
+    every = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct(F.lit(0).alias("rule"), x["kind"].alias("kind"), x["version"].alias("version"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.array_distinct(every)
+
+
 @dataclass
 class Scan:
     """``blobs``: the blobs scanned now with what was found; ``paths``: all paths with the findings of their blob."""
@@ -78,29 +84,22 @@ def address(versions: DataFrame) -> DataFrame:
     return versions.select("path", "version", F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("content"))
 
 
-def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
-    """Scan the unseen part of ``versions`` (path, version, content) and place all findings.
-
-    ``ledger`` has (blob binary, rules array<struct<kind,version>>, found) as an
-    earlier ``Scan.blobs`` had them; several rows per blob are several scans.
-    Repeated rows, null paths and null versions pass through; extra columns are
-    ignored. An empty table gives empty frames.
-    """
-    addressed = address(versions)
+def unseen_blobs(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """What a scan adds to ``ledger``: (blob, rules, found) of the blobs of ``addressed`` with rules that it lacks for them."""
     wanted = [(r.kind, r.version) for r in rules]
     texts = addressed.select("blob", "content")
     none = F.lit(None).cast("array<struct<kind:string,version:int>>")
     old = None
     if ledger is not None:
-        old = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"), F.flatten(F.collect_list("found")).alias("known"))
+        old = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in wanted])
         complete = old.filter(F.size(F.array_except(every, "done")) == 0).select("blob")
-        unseen = addressed.select("blob").distinct().join(complete, "blob", "left_anti").select(F.xxhash64("blob").alias("id"))
+        unseen = stash(addressed.select("blob").distinct().join(complete, "blob", "left_anti").select(F.xxhash64("blob").alias("id")), "unseen")
         # Contents that have been scanned in full stay where they are; few others pass the sieve with the unseen ones.
         texts = texts.filter(maybe_among(sieve(unseen), F.xxhash64("blob")))
     # One row per blob and task reaches the shuffle, so a blob with many copies costs no more than one.
     blobs = texts.dropDuplicates(["blob"])
-    blobs = blobs.withColumn("done", none) if old is None else blobs.join(old.select("blob", "done"), "blob", "left")
+    blobs = blobs.withColumn("done", none) if old is None else blobs.join(old, "blob", "left")
 
     def run(batches):
         compiled = {r: re.compile(r.pattern, re.ASCII) for r in rules}
@@ -116,22 +115,43 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
                 results.append([{"rule": wanted.index((k, v)), "kind": k, "version": v, "start": s, "end": e} for _, k, v, s, e in hits])
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(scanned, kind), pa.array(results, found)], ["blob", "rules", "found"])
 
-    fresh = lean(blobs).mapInArrow(run, LEDGER).filter(F.size("rules") > 0)
-    results = fresh.select("blob", "found")
-    if old is not None:
-        results = results.union(old.select("blob", F.col("known").alias("found"))).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    return Scan(fresh, place(addressed, results, rules))
+    return lean(blobs).mapInArrow(run, LEDGER).filter(F.size("rules") > 0)
+
+
+def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
+    """Scan the unseen part of ``versions`` (path, version, content) and place all findings.
+
+    ``ledger`` has (blob binary, rules array<struct<kind,version>>, found) as an
+    earlier ``Scan.blobs`` had them; several rows per blob are several scans, and
+    a scan that is recorded twice, as by a retry, counts once. Repeated rows, null
+    paths and null versions pass through; extra columns are ignored. An empty
+    table gives empty frames.
+    """
+    addressed = address(versions)
+    fresh = stash(unseen_blobs(addressed, ledger, rules), "scan")
+    every = fresh.select("blob", "found") if ledger is None else fresh.select("blob", "found").union(ledger.select("blob", "found"))
+    return Scan(fresh, place(addressed, every.groupBy("blob").agg(merged().alias("found")), rules))
 
 
 def place(addressed: DataFrame, results: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, version, blob, found): ``results`` (blob, found), but for rules or versions that are not asked for, at all paths."""
+    """(path, version, blob, found): ``results`` (blob, found), but for rules or versions that are not asked for, at all paths.
+
+    Only paths whose blob may have findings are shuffled, and a blob of very
+    many paths is dealt over many tasks.
+    """
     index = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}/{r.version}", k)])
     at = lambda x: F.element_at(index, F.concat(x["kind"], F.lit("/"), x["version"].cast("string")))
     asked = F.filter("found", lambda x: at(x).isNotNull())
     ordered = F.array_sort(F.transform(asked, lambda x: F.struct(x["start"].alias("start"), at(x).alias("rule"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    hits = results.select("blob", ordered.alias("found")).filter(F.size("found") > 0)
+    hits = stash(results.select("blob", ordered.alias("found")).filter(F.size("found") > 0), "hits")
     empty = F.array().cast(hits.schema["found"].dataType)
-    return addressed.select("path", "version", "blob").join(hits, "blob", "left").select("path", "version", "blob", F.coalesce("found", empty).alias("found"))
+    bits = sieve(hits.select(F.xxhash64("blob").alias("id")))
+    paths = addressed.select("path", "version", "blob").withColumn("maybe", maybe_among(bits, F.xxhash64("blob")))
+    some = stash(paths.filter("maybe").drop("maybe"), "paths")
+    often = some.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
+    facts = often.join(hits, "blob", "left").select("blob", "paths", F.coalesce("found", empty).alias("found"))
+    found = join_salted(some, facts, ["blob"], "paths", ["path", "version"], some.count()).select("path", "version", "blob", "found")
+    return paths.filter("not maybe").select("path", "version", "blob", empty.alias("found")).union(found)
 
 
 LEDGER = f"blob binary, rules array<struct<kind:string,version:int>>, found {FOUND}"
@@ -148,16 +168,22 @@ def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -
     """Scan what the ledger under ``path`` lacks, record it there, and return all paths with all findings.
 
     The scan is written first; the findings are then read from the ledger, so
-    no blob is scanned twice.
+    no blob is scanned twice. Scans that run at once may both record a blob.
     """
     spark = versions.sparkSession
-    scan_history(versions, read_ledger(spark, path), rules).blobs.write.mode("append").parquet(path)
-    results = read_ledger(spark, path).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    return place(address(versions), results, rules)
+    addressed = address(versions)
+    unseen_blobs(addressed, read_ledger(spark, path), rules).write.mode("append").parquet(path)
+    results = read_ledger(spark, path).groupBy("blob").agg(merged().alias("found"))
+    return place(addressed, results, rules)
 
 
 def summary(paths: DataFrame) -> DataFrame:
-    """Counts and digests of ``Scan.paths``, a row for each of its rows: doc_id is the path."""
+    """Counts and digests of ``Scan.paths``, a row for each of its rows: doc_id is the path.
+
+    Null and repeated paths keep their rows. A row without findings has counts of
+    0, empty spans and the digest of the empty string. Other columns are ignored;
+    an empty table gives an empty frame.
+    """
 
     def spans(x):
         return F.array_join(F.transform(x, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")

@@ -71,6 +71,32 @@ def test_ledger_on_disk(spark, tmp_path):
     assert secrets.read_ledger(spark, path).count() == before
 
 
+def test_a_scan_recorded_twice_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    secrets.scan_into(versions(spark, TEXTS), path)
+    once = secrets.read_ledger(spark, path).toPandas()
+    spark.createDataFrame(secrets.read_ledger(spark, path).collect(), secrets.LEDGER).write.mode("append").parquet(path)
+    assert secrets.read_ledger(spark, path).count() == 2 * len(once)
+    got = rows(secrets.summary(secrets.scan_into(versions(spark, TEXTS), path)))
+    for i, t in enumerate(TEXTS):
+        assert ([got[i].n_assign, got[i].n_access, got[i].n_hex], got[i].base_sha256) == brute(t), t
+    again = secrets.scan_history(versions(spark, TEXTS), secrets.read_ledger(spark, path))
+    assert again.blobs.count() == 0 and sum(len(r.found) for r in again.paths.collect()) == sum(len(r.found) for r in secrets.scan_history(versions(spark, TEXTS)).paths.collect())
+
+
+def test_versions_and_a_hot_blob(spark, tmp_path):
+    hot = "password = hunter22"
+    first = [(f"f{i}", 1, hot if i % 3 else f"token=abcdef{i}") for i in range(900)]
+    second = [(p, 2, t + " AKIA" + "Z" * 16 if k % 5 == 0 else t) for k, (p, _, t) in enumerate(first)]
+    schema, path = "path string, version int, content string", str(tmp_path / "ledger")
+    secrets.scan_into(spark.createDataFrame(first, schema), path)
+    scanned = secrets.read_ledger(spark, path).count()
+    got = secrets.scan_into(spark.createDataFrame(first + second, schema), path).collect()
+    assert scanned == 301 and secrets.read_ledger(spark, path).count() == scanned + len({t for _, _, t in second} - {t for _, _, t in first})
+    want = sorted((p, v, len(secrets.find(t))) for p, v, t in first + second)
+    assert sorted((r.path, r.version, len(r.found)) for r in got) == want
+
+
 def test_history_and_empty(spark):
     hist = spark.createDataFrame([("a.py", 1, "token=abcdef1"), ("a.py", 2, ""), ("b.py", 1, "token=abcdef1"), (None, None, "token=abcdef1")], "path string, version int, content string")
     scan = secrets.scan_history(hist)
