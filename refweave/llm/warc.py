@@ -26,6 +26,7 @@ from refweave.llm.shared import maybe_among, own_dir, sieve, stash
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+STRETCH = 1 << 20  # bytes of a file that are looked at together where records lie across splits
 LEAST = 100  # bytes of payload from which on equal payloads are written once
 
 
@@ -158,7 +159,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the WARC files of ``path``.
 
     Digests and sizes are taken from the bytes read; a revisit has those of the
-    response that it refers to, and null size if that is missing or differs.
+    response that it refers to, and null size if none there has its digest.
+    Pages that repeat a page_id have a row each, by their own payload.
     """
     rows = stash(_candidates(scan(spark, path)), "candidates")
     # Where each split's first row lies in its file: the bytes that all splits before it consumed.
@@ -205,21 +207,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = real.filter("whole").select("page_id", "record_type", "refers_to", "declared", "payload_bytes", "payload_digest")
     split = real.filter("not whole").select("file", "gpos", "gsucc", "page_id", "record_type", "refers_to", "declared")
     if not split.isEmpty():
-        whole = whole.union(_rejoined(spark, path, placed, real, split))
-    answers = whole.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).dropDuplicates(["refers_to"])
-    revisits = whole.filter("record_type = 'revisit'").join(answers, "refers_to", "left")
-    same = F.col("d") == F.col("declared")
+        whole = whole.union(_rejoined(spark, path, placed, split))
+    # A page_id may have several responses: a revisit means the one with the digest that it declares.
+    answers = whole.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared"), F.col("payload_bytes").alias("n")).dropDuplicates(["refers_to", "declared"])
+    revisits = whole.filter("record_type = 'revisit'").join(answers, ["refers_to", "declared"], "left")
     return whole.filter("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").union(
-        revisits.select("page_id", F.when(same, F.col("n")), F.col("declared"), "record_type", "refers_to")
+        revisits.select("page_id", "n", "declared", "record_type", "refers_to")
     )
 
 
-def _rejoined(spark, path, placed, real, split) -> DataFrame:
+def _rejoined(spark, path, placed, split) -> DataFrame:
     """Records whose payload holds the magic: their rows, from any split, end to end again."""
-    at = Window.partitionBy("file").orderBy("gpos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = real.select("file", "gpos", F.col("gpos").alias("owner"))
-    owned = placed.filter("gpos >= 0").select("file", "block", "row", "gpos").join(heads, ["file", "gpos"], "left").withColumn("owner", F.last("owner", ignorenulls=True).over(at))
-    wanted = owned.join(split.select("file", F.col("gpos").alias("owner")), ["file", "owner"], "left_semi").select("file", "block", "row", "gpos", "owner")
+    # Which record a row lies in: both are listed by the stretches of the file that they touch, so no task sees a whole file.
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    spans = split.select("file", F.col("gpos").alias("owner"), F.col("gsucc").alias("stop"), F.explode(F.sequence(stretch("gpos"), F.floor((F.col("gsucc") - 1) / STRETCH))).alias("stretch"))
+    rows = placed.filter("gpos >= 0").select("file", "block", "row", "gpos", stretch("gpos").alias("stretch"))
+    wanted = rows.join(spans, ["file", "stretch"]).filter("gpos >= owner and gpos < stop").select("file", "block", "row", "gpos", "owner")
 
     def number(batches):
         now, k = None, 0

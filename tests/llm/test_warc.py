@@ -69,6 +69,14 @@ def test_files_are_plain_archives(spark):
     assert records == 3
 
 
+def test_repeated_page_ids(spark):
+    long, other = "y" * 200, "z" * 300
+    rows = [(1, "u", long), (1, "u", other), (2, "u", long), (3, "u", other), (2, "u", other), (1, "u", long), (4, "u", "short"), (4, "u", "short")]
+    got = run(spark, rows)
+    assert len(got) == len(rows) and all(n is not None for _, n, *_ in got)
+    assert got == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
