@@ -4,12 +4,14 @@
 tag, a Xing frame with a seek table, then silent frames, each with a checksum,
 whose ancillary bytes carry the data. ``parse`` reads any MPEG-1, 2 or 2.5
 stream of layers I to III: it skips tags, resynchronises on frame headers that a
-second header confirms, verifies checksums and reads Xing or VBRI tables.
+second header confirms, verifies checksums of all three layers and reads Xing or
+VBRI tables with their seek points.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -73,15 +75,53 @@ def side_bytes(h: Header) -> int:
     return (17 if h.channels == 1 else 32) if h.version == 3 else (9 if h.channels == 1 else 17)
 
 
+def _crc(crc: int, value: int, bits: int) -> int:
+    for k in range(bits - 1, -1, -1):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ value >> k) & 1 else 0)) & 0xFFFF
+    return crc
+
+
 @lru_cache(maxsize=4096)
 def checksum(data: bytes) -> int:
     """CRC-16 of polynomial 0x8005 from 0xFFFF, as frames carry it."""
-    crc = 0xFFFF
-    for b in data:
-        crc ^= b << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
-    return crc
+    return _crc(0xFFFF, int.from_bytes(data, "big"), 8 * len(data))
+
+
+# Fixed values of the standard for Layer II: (subbands, bits of allocation) from the lowest subband on, by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def allocation_of(h: Header) -> list[int]:
+    """Bits that the allocation of each coded subband takes in a Layer II frame."""
+    each = h.kbps // h.channels
+    if h.version != 3:
+        name = "lsf"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or h.rate == 48000 else "b"
+    return [bits for count, bits in ALLOCATION[name] for _ in range(count)]
+
+
+def expected_checksum(data: bytes, at: int, h: Header) -> int:
+    """What a protected frame's checksum must be: it covers half the header and, by layer, side information, allocation, or allocation and scale selectors."""
+    if h.layer == 3:
+        return checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side_bytes(h)])
+    joint = data[at + 3] >> 6 == 1
+    bits = [4] * 32 if h.layer == 1 else allocation_of(h)
+    bound = min(4 * ((data[at + 3] >> 4 & 3) + 1), len(bits)) if joint else len(bits)
+    body = data[at + 6 : at + h.size]
+    stream, room = int.from_bytes(body, "big"), 8 * len(body)
+    used, selectors = 0, 0
+    for band, width in enumerate(bits):
+        for _ in range(h.channels if band < bound else 1):
+            used += width
+            if used <= room and (stream >> (room - used)) & ((1 << width) - 1):
+                selectors += 2 * (1 if band < bound else h.channels)
+    used = min(used + (selectors if h.layer == 2 else 0), room)
+    return _crc(checksum(data[at + 2 : at + 4]), stream >> (room - used), used)
 
 
 def _head(index: int, protected: bool) -> bytes:
@@ -173,20 +213,24 @@ def _id3v2(data: bytes) -> tuple[int, dict]:
 
 
 def _table(data: bytes, at: int, h: Header) -> dict | None:
-    """A Xing or Info table, or a VBRI table, in the frame at ``at``."""
+    """A Xing or Info table, or a VBRI table, in the frame at ``at``. ``toc``: byte places from that frame on, at even steps of time."""
     x = at + 4 + side_bytes(h) + (2 if h.protected else 0)
     kind = data[x : x + 4]
+    number = lambda place, n: int.from_bytes(data[place : place + n], "big")
     if kind in (b"Xing", b"Info"):
-        flags, y = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
-        out = {"kind": kind.decode(), "frames": 0, "bytes": 0, "toc": b""}
+        flags, y = number(x + 4, 4), x + 8
+        out = {"kind": kind.decode(), "frames": 0, "bytes": 0, "toc": []}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name], y = int.from_bytes(data[y : y + 4], "big"), y + 4
+                out[name], y = number(y, 4), y + 4
         if flags & 4:
-            out["toc"] = data[y : y + 100]
+            out["toc"] = [share * out["bytes"] // 256 for share in data[y : y + 100]]
         return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "VBRI", "frames": int.from_bytes(data[at + 50 : at + 54], "big"), "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "toc": b""}
+        entries, scale, width = (number(at + 54 + 2 * k, 2) for k in range(3))
+        entries = min(entries, max(0, h.size - 62) // max(width, 1))
+        sizes = [scale * number(at + 62 + width * k, width) for k in range(entries)]
+        return {"kind": "VBRI", "frames": number(at + 50, 4), "bytes": number(at + 46, 4), "toc": np.cumsum(sizes, dtype=np.int64).tolist()}
     return None
 
 
@@ -216,9 +260,9 @@ def parse(data: bytes) -> Stream:
         else:
             out.offsets.append(at)
             out.headers.append(h)
-            if h.protected and h.layer == 3:
+            if h.protected:
                 out.checked += 1
-                out.failed += checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side_bytes(h)]) != int.from_bytes(data[at + 4 : at + 6], "big")
+                out.failed += expected_checksum(data, at, h) != int.from_bytes(data[at + 4 : at + 6], "big")
         first, synced = False, True
         at += h.size
     out.skipped += max(0, end - at)
@@ -226,9 +270,12 @@ def parse(data: bytes) -> Stream:
 
 
 def unpack(data: bytes, stream: Stream | None = None) -> tuple[bytes, int]:
-    """The bytes that ``pack`` stored and their length before padding. A stream that lost some of them is a ValueError."""
+    """The bytes that ``pack`` stored and their length before padding. A stream that lost some of them, or is none of its own, is a ValueError."""
     s = stream or parse(data)
-    size, length = map(int, s.tags["payload"].split("/"))
+    noted = re.fullmatch(r"([0-9]{1,18})/([0-9]{1,18})", s.tags.get("payload", ""), re.ASCII)
+    if not noted or any(h.layer != 3 or not h.protected for h in s.headers):
+        raise ValueError("no stream that pack has written")
+    size, length = int(noted[1]), int(noted[2])
     parts = [data[o + HEAD : o + h.size] for o, h in zip(s.offsets, s.headers)]
     out = b"".join(parts)[:size]
     if len(out) < size:
@@ -241,7 +288,11 @@ def pad(raw: bytes) -> bytes:
 
 
 def store(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, media): each text (null: empty) as UTF-8, padded and packed. Equal texts give equal media; other columns are ignored."""
+    """(doc_id, media): each text (null: empty) as UTF-8, padded and packed. Equal texts give equal media.
+
+    A row per row of ``documents``, also where doc_ids are null or repeat; other
+    columns are ignored, and an empty table gives an empty frame.
+    """
 
     def run(batches):
         for batch in batches:
@@ -252,16 +303,24 @@ def store(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return lean(rows).mapInArrow(run, "doc_id long, media binary")
 
 
+# Columns of ``index``: name, SQL type and Arrow type.
+INDEX = (
+    ("doc_id", "long", pa.int64()), ("n_bytes", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()),
+    ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()),
+    ("samples", "long", pa.int64()), ("rate", "int", pa.int32()), ("duration", "double", pa.float64()), ("frame_offsets", "array<long>", pa.list_(pa.int64())),
+    ("seek_points", "array<long>", pa.list_(pa.int64())),
+)
+
+
 def index(media: DataFrame) -> DataFrame:
-    """(doc_id, samples, rate, frame_offsets, feature, tags, payload facts) of each stream of ``media`` (doc_id, media).
+    """The columns of ``INDEX`` for each stream of ``media`` (doc_id, media).
 
-    The duration in seconds is exactly samples / rate. Null media and bytes
-    without frames have no offsets; payload facts are null where ``pack`` did
-    not write the stream, or frames of it are lost.
+    The duration in seconds is samples / rate, and exactly so as that fraction;
+    ``seek_points`` are those of the variable-bitrate table. Null media and bytes
+    without frames have no offsets and a null duration; payload facts are null
+    where ``pack`` did not write the stream, or frames of it are lost. Null and
+    repeated doc_ids keep their rows; an empty table gives an empty frame.
     """
-    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "frame_offsets")
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate int, frame_offsets array<long>"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
@@ -269,14 +328,13 @@ def index(media: DataFrame) -> DataFrame:
             for key, blob in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
                 data = blob.as_py() or b""
                 s = parse(data)
-                facts = (None,) * 4
-                if "payload" in s.tags:
-                    try:
-                        payload, length = unpack(data, s)
-                        facts = (length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
-                    except ValueError:
-                        pass  # lost frames: wrong facts would be worse than none
-                rows.append((key, *facts, len(data), hashlib.sha256(data).hexdigest(), s.feature(), s.samples, s.rate, s.offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], list(columns))
-
-    return lean(media).mapInArrow(run, schema)
+                try:
+                    payload, length = unpack(data, s)
+                    facts = (length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                except ValueError:
+                    facts = (None,) * 4  # lost frames: wrong facts would be worse than none
+                seconds = s.samples / s.rate if s.rate else None
+                rows.append((key, *facts, len(data), hashlib.sha256(data).hexdigest(), s.feature(), s.samples, s.rate, seconds, s.offsets, s.vbr["toc"] if s.vbr else []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(zip(*rows) if rows else [[]] * len(INDEX), INDEX)], [n for n, _, _ in INDEX])
+
+    return lean(media).mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in INDEX))

@@ -31,7 +31,7 @@ def op4_url_trees(spark, sf_dir):
 
 def op5_mpeg_audio(spark, sf_dir):
     out = mpegaudio.index(mpegaudio.store(table(spark, sf_dir, "documents")))
-    return out.withColumn("n_frames", F.size("frame_offsets")).drop("frame_offsets")
+    return out.withColumn("n_frames", F.size("frame_offsets"))
 
 
 def op6_e8_lattice(spark, sf_dir):

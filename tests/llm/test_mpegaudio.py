@@ -65,8 +65,77 @@ def test_checksum_and_vbri():
     frame[:4] = b"\xff\xfb\x90\x00"
     frame[36:40] = b"VBRI"
     frame[46:54] = struct.pack(">II", 4170, 9)
+    frame[54:62] = struct.pack(">HHHH", 3, 3, 2, 3)  # entries, scale, bytes of an entry, frames of an entry
+    frame[62:68] = struct.pack(">HHH", 417, 417, 417)
     s = M.parse(bytes(frame) + (b"\xff\xfb\x90\x00" + bytes(413)) * 9)
     assert s.vbr["kind"] == "VBRI" and s.vbr["frames"] == len(s.offsets) == 9 and s.samples / s.rate == 9 * 1152 / 44100
+    assert s.vbr["toc"] == [1251, 2502, 3753]  # three frames each
+
+
+def bits_of(data):
+    return "".join(f"{b:08b}" for b in data)
+
+
+def crc_of(bits):
+    crc = 0xFFFF
+    for b in bits:
+        out = (crc >> 15) ^ int(b)
+        crc = (crc << 1) & 0xFFFF
+        if out:
+            crc ^= 0x8005
+    return crc
+
+
+@pytest.mark.parametrize("four,covered", [
+    (b"\xff\xfe\x84\xc0", lambda b: 32 * 4),  # Layer I, mono
+    (b"\xff\xfe\x84\x00", lambda b: 64 * 4),  # Layer I, stereo
+    (b"\xff\xfe\x84\x50", lambda b: (2 * 8 + 24) * 4),  # Layer I, joint stereo from subband 8 on
+    (b"\xff\xfc\x14\xc0", None),  # Layer II, 32 kbit/s mono at 48 kHz: eight subbands
+    (b"\xff\xfc\xa0\x00", None),  # Layer II, 192 kbit/s stereo at 44.1 kHz: thirty subbands
+    (b"\xff\xf4\x84\x60", None),  # Layer II of MPEG-2, joint stereo from subband 12 on
+])
+def test_checksums_of_layers_one_and_two(four, covered):
+    h = M.header(four)
+    body = bytearray(random.Random(four).randbytes(h.size))
+    body[:4] = four
+    bits = bits_of(bytes(body[6:]))
+    if covered:
+        n = covered(bits)
+    else:
+        widths = {8: [4, 4] + [3] * 6, 30: [4] * 11 + [3] * 12 + [2] * 7, 31: [4] * 4 + [3] * 7 + [2] * 19}[{0x14: 8, 0xA0: 30, 0x84: 31}[four[2]]]
+        bound = 12 if four[3] >> 6 == 1 else len(widths)
+        at = chosen = 0
+        for band, w in enumerate(widths):
+            for _ in range(h.channels if band < bound else 1):
+                if "1" in bits[at : at + w]:
+                    chosen += 1 if band < bound else h.channels
+                at += w
+        n = at + 2 * chosen
+    body[4:6] = crc_of(bits_of(four[2:4]) + bits[:n]).to_bytes(2, "big")
+    s = M.parse(bytes(body) * 3)
+    assert (s.checked, s.failed, len(s.offsets)) == (3, 0, 3)
+    body[6 + n // 16] ^= 0x10
+    assert M.parse(bytes(body) * 3).failed == 3
+
+
+def test_seek_points():
+    media = M.pack(b"seek!" * 20_000)
+    s = M.parse(media)
+    assert len(s.vbr["toc"]) == 100 and s.vbr["toc"] == sorted(s.vbr["toc"]) and s.vbr["toc"][0] >= 0
+    lead = s.offsets[0] - M.header(M._head(1, False)).size
+    for p in range(0, 100, 7):  # a 256th of the stream is the table's precision
+        frame = s.offsets[p * len(s.offsets) // 100]
+        assert abs(lead + s.vbr["toc"][p] - frame) <= s.vbr["bytes"] / 256 + 1
+
+
+def test_foreign_and_repeated_streams(spark):
+    note = b"\x03payload\x00none of ours"
+    frame = b"TXXX" + M._synchsafe(len(note)) + b"\0\0" + note
+    foreign = b"ID3\x04\x00\x00" + M._synchsafe(len(frame)) + frame + (b"\xff\xfb\x90\x00" + bytes(413)) * 3
+    own = M.pack(M.pad(b"text"), 4)
+    df = spark.createDataFrame([(1, bytearray(foreign)), (1, bytearray(own)), (None, bytearray(own)), (1, bytearray(own))], "doc_id long, media binary")
+    got = sorted(((r.doc_id, r.n_bytes, len(r.frame_offsets), r.duration) for r in M.index(df).collect()), key=repr)
+    assert got == sorted([(1, None, 3, 3 * 1152 / 44100), (1, 4, 1, 1152 / 32000), (None, 4, 1, 1152 / 32000), (1, 4, 1, 1152 / 32000)], key=repr)
 
 
 def test_frames_of_a_table(spark):
