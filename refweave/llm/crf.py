@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from refweave.llm import wordset
-from refweave.llm.shared import lean
+from refweave.llm.shared import lean, stash
 
 FEATURES = ("length", "word_length", "upper", "digit", "symbol", "bang", "pipe", "stop", "wide", "adjacent", "distinct", "again", "ends", "starts")
 SAMPLE = 6000  # labelled documents that training reads at most
+LINES = 400_000  # lines of these that training reads at most, in whole documents
 BINS = 12
-SEGMENT = 64  # lines of a training chain
+SEGMENT = 64  # lines of a training chain: longer documents are several chains, whose lines know their neighbours beyond the cut
 ROUNDS = 120
 
 
@@ -166,8 +167,14 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, p
     return good, expected, float(np.log(scale).sum())
 
 
+def cut(first: np.ndarray, label: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and labels of chains of ``segment`` lines at most, from those of documents."""
+    starts = [np.arange(a, b, segment) for a, b in zip(first[:-1], first[1:])]
+    return np.concatenate([*starts, first[-1:]]).astype(np.int64), np.repeat(label, [len(s) for s in starts])
+
+
 def train(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> Crf:
-    """Fit on chains whose lines all carry the chain's label; with no chains every score is 0.5."""
+    """Fit on documents whose lines all carry the document's label; with no documents every score is 0.5."""
     edges = [np.unique(np.quantile(f, np.linspace(0, 1, BINS)[1:-1])) if f.size else np.zeros(0) for f in features]
     # Shares that are mostly 0 keep a bin of their own for 0.
     edges = [np.unique(np.concatenate((e, [1e-6])))[: BINS - 1] for e in edges]
@@ -175,6 +182,7 @@ def train(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> Crf:
     if not len(label):
         return model
     codes = model.codes(features, first)
+    first, label = cut(first, label)
     y = np.repeat(label, np.diff(first)).astype(float)
     inner = np.ones(len(y), bool)
     inner[first[:-1]] = False
@@ -205,43 +213,53 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Train on at most ``sample`` labelled documents, those whose doc_id hashes lowest, none of them held out.
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Crf:
+    """Train on at most ``sample`` labelled documents of ``lines`` lines in all, those whose doc_id hashes lowest, none of them held out.
 
-    Labels other than 0 and 1 and null doc_ids are passed over. The executors
-    compute line features; only these come to the driver, for chains of
-    ``SEGMENT`` lines at most.
+    Labels other than 0 and 1 and null doc_ids are passed over; of conflicting
+    labels of a doc_id the larger counts. Rows that repeat doc_id and text count
+    once, and rows of one doc_id with several texts are several documents. A
+    document that would exceed ``lines`` is passed over whole. Texts without
+    lines, null ones too, are documents of one empty line; other columns are
+    ignored. The executors compute line features; only these come to the
+    driver, 56 bytes a line.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stash(rows.dropDuplicates(["doc_id", "mark"]), "labelled")
+    # Ties of a repeated doc_id go by its texts. The limit bounds what the driver sees.
+    sizes = rows.select("doc_id", "mark", F.regexp_count("text", F.lit("\n")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(sample).collect()
+    wanted, room = [], lines
+    for r in sizes:
+        if r.n + 1 <= room:
+            room -= r.n + 1
+            wanted.append((r.doc_id, r.mark))
+    picked = F.broadcast(documents.sparkSession.createDataFrame(wanted, "doc_id long, mark long"))
 
     def run(batches):
         for batch in batches:
             for part in wordset.runs(batch, "text"):
                 features, _, first = line_features(*wordset.texts(part.column("text")))
                 blobs = [np.ascontiguousarray(features[:, a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "quality", "features"])
-
-    got = lean(rows).mapInArrow(run, "doc_id long, quality int, features binary").toPandas().sort_values(["doc_id", "features"])
-    parts, label = [], []
-    for q, blob in zip(got["quality"], got["features"]):
-        whole = np.frombuffer(blob, np.float32).reshape(len(FEATURES), -1)
-        for lo in range(0, whole.shape[1], SEGMENT):
-            parts.append(whole[:, lo : lo + SEGMENT])
-            label.append(q)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), part.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "mark", "quality", "features"])
+
+    got = lean(rows.join(picked, ["doc_id", "mark"])).mapInArrow(run, "doc_id long, mark long, quality int, features binary").toPandas().sort_values(["doc_id", "mark"])
+    parts = [np.frombuffer(blob, np.float32).reshape(len(FEATURES), -1) for blob in got["features"]]
     features = np.concatenate(parts, 1) if parts else np.zeros((len(FEATURES), 0), np.float32)
-    return train(features, np.concatenate(([0], np.cumsum([p.shape[1] for p in parts]))).astype(np.int64), np.array(label))
+    return train(features, np.concatenate(([0], np.cumsum([p.shape[1] for p in parts]))).astype(np.int64), got["quality"].to_numpy(np.int64))
 
 
-def score(documents: DataFrame, model: Crf, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``documents`` (all of them by default) and ``score``, which replaces one of that name.
+def score(documents: DataFrame, model: Crf, carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``carry`` of ``documents`` (all of them by default) and the score as ``name``, which replaces a column of that name.
 
-    Only the text is an input; null texts score as empty ones. An empty table
-    gives an empty frame.
+    Only the text is an input; null texts score as empty ones, and equal texts
+    alike. Null and repeated doc_ids keep their rows. An empty table gives an
+    empty frame.
     """
-    carry = [c for c in (documents.columns if carry is None else carry) if c != "score"]
+    carry = [c for c in (documents.columns if carry is None else carry) if c.lower() != name.lower()]
     read = list(dict.fromkeys([*carry, "text"]))
     frame = lean(documents.select(*read))
 
@@ -249,6 +267,6 @@ def score(documents: DataFrame, model: Crf, carry: list[str] | None = None) -> D
         for batch in batches:
             for part in wordset.runs(batch, "text"):
                 value = pa.array(model.score(*wordset.texts(part.column("text"))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), value], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), value], [*carry, name])
 
-    return frame.mapInArrow(run, StructType([frame.schema[c] for c in carry]).add("score", DoubleType()))
+    return frame.mapInArrow(run, StructType([frame.schema[c] for c in carry]).add(name, DoubleType()))

@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
@@ -40,6 +42,77 @@ def test_line_features_do_not_depend_on_neighbours():
     assert whole[crf.FEATURES.index("again")].tolist()[-2:] == [0, 1]
 
 
+def slow_features(text):
+    """The features of each line by definition, a line at a time."""
+    lines, out, before = text.split("\n"), [], []
+    for line in lines:
+        raw = line.encode()
+        words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        share = lambda good: sum(map(good, raw)) / max(len(raw), 1)
+        f = [math.log2(len(raw) + 1), len(raw) / len(words) if words else 0]
+        f += [share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in b"#$%&*+/<=>@\\^_`{}~()[]-"), share(lambda b: b in b"!?"), share(lambda b: b == 124), share(lambda b: b in b".,;:'\""), share(lambda b: b >= 128)]
+        f += [sum(a == b for a, b in zip(words, words[1:])) / max(len(words) - 1, 1), len(set(words)) / len(words) if words else 1]
+        f += [float(bool(words) and words in before), float(raw[-1:] in (b".", b"!", b"?") and bool(raw)), float(bool(raw) and (65 <= raw[0] <= 90 or raw[0] >= 195))]
+        before.append(words)
+        out.append(f)
+    return lines, out
+
+
+def slow_score(model, text):
+    """A document's score by sums over neighbours and over all paths through a table, in plain floats."""
+    lines, feats = slow_features(text)
+    bins = [[sum(x >= e for e in edges) for x, edges in zip(np.float32(f), model.edges)] for f in feats]
+    emission = []
+    for i in range(len(lines)):
+        e = model.bias
+        for side, j in enumerate((i, i - 1, i + 1)):
+            for f in range(len(crf.FEATURES)):
+                e += model.weights[side, f][bins[j][f] if 0 <= j < len(lines) else crf.BINS]
+        emission.append(e)
+    ahead, behind = [[0.0, emission[0]]], [[0.0, 0.0]]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    for e in emission[1:]:
+        ahead.append([add(ahead[-1][0] + model.transition[0, y], ahead[-1][1] + model.transition[1, y]) + (e if y else 0.0) for y in (0, 1)])
+    for e in emission[:0:-1]:
+        behind.append([add(model.transition[y, 0] + behind[-1][0], model.transition[y, 1] + e + behind[-1][1]) for y in (0, 1)])
+    total = weight = 0.0
+    for line, a, b in zip(lines, ahead, behind[::-1]):
+        n = len(line.encode()) + 1
+        total += n / (1 + math.exp(a[0] + b[0] - a[1] - b[1]))
+        weight += n
+    return total / weight
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = crf.fit(docs, table(spark, sf, "labels"))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()]
+    texts += ["", "\n\n", "One two.\nOne  two.\nTHREE!! 3\n| a | b |", "é É ß\n" * 30, "x" * 5000 + "\nend."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in crf.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - slow_score(model, t or "")) < 1e-6, (i, t)
+
+
+def test_fit_is_bounded_and_ids_may_repeat(spark):
+    docs, labels = toy(spark)
+    model = crf.fit(docs, labels)
+    repeated = docs.union(docs.filter("doc_id < 20")).union(docs.filter("doc_id = 2"))
+    assert np.allclose(crf.fit(repeated, labels).weights, model.weights)  # one labelled row, however often it is there
+    texts = docs.union(spark.createDataFrame([(3, f"Another text of the third id, number {i}.", "d", 0.0) for i in range(50)], docs.schema))
+    some = crf.fit(texts, labels, sample=40, lines=60)
+    assert np.allclose(some.weights, crf.fit(texts.repartition(7), labels, sample=40, lines=60).weights)
+    assert crf.fit(docs, labels, lines=0).weights.any() == False  # noqa: E712
+    got = crf.score(repeated, model, ["doc_id"]).filter("doc_id = 2").collect()
+    assert len(got) == 3 and len({r.score for r in got}) == 1
+
+
+def test_cut_keeps_whole_documents_together():
+    first, label = crf.cut(np.array([0, 3, 10, 11]), np.array([1, 0, 1]), 4)
+    assert first.tolist() == [0, 3, 7, 10, 11] and label.tolist() == [1, 0, 0, 1]
+
+
 def toy(spark):
     good = "The quick brown fox jumps over the lazy dog and goes home.\nThen it rests for a while."
     bad = "BUY!! NOW!! ### $$$ 111\nwin win win win win"
