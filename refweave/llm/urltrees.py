@@ -2,7 +2,8 @@
 
 Everything on the way of a URL is an SQL expression: the trees are trained by
 Spark's own library on a bounded table of labelled URLs and then written out as
-nested CASE expressions.
+nested CASE expressions. Statistics of all suffixes of the labelled URLs are a
+broadcast table, which that bound limits as well.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refweave.llm.shared import spare
+
 # Fixed rules of the query: (verdict, host, start of the path).
 RULES = (
     ("allow", "org", "/"),
@@ -26,8 +29,8 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TREES, DEPTH, SEED = 20, 3, 11
-SUFFIXES = 200  # suffixes of the labelled URLs, the most frequent, that have statistics of their own
 SEED_URLS = 3000
+MOST = 50_000  # labelled URLs that training reads at most, and so a bound on their suffixes
 
 
 def host_of(url: Column) -> Column:
@@ -62,17 +65,13 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - part(c) * F.log2(part(c)))
 
 
-def features(url: Column, statistics: dict[str, tuple[float, float]]) -> dict[str, Column]:
+def features(url: Column, odds: Column, rate: Column) -> dict[str, Column]:
+    """Lexical features; ``odds`` and ``rate`` are the statistics of the URL's suffix."""
     url = F.coalesce(url, F.lit(""))
     host, path = host_of(url), path_of(url)
     query = F.regexp_extract(url, "(?s)\\?([^#]*)", 1)
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     share = lambda a, b: a / F.greatest(F.length(b), F.lit(1))
-    if statistics:
-        known = F.create_map(*[F.lit(x) for s, (odds, rate) in statistics.items() for x in (s, [odds, rate])])
-        found = F.coalesce(F.element_at(known, suffix_of(host)), F.array(F.lit(0.0), F.lit(0.0)))
-    else:
-        found = F.array(F.lit(0.0), F.lit(0.0))
     return {
         "url_length": F.length(url).cast("double"),
         "host_length": F.length(host).cast("double"),
@@ -86,23 +85,29 @@ def features(url: Column, statistics: dict[str, tuple[float, float]]) -> dict[st
         "parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
         "host_entropy": entropy(host),
         "url_entropy": entropy(url),
-        "suffix_odds": found[0],
-        "suffix_rate": found[1],
+        "suffix_odds": F.coalesce(odds, F.lit(0.0)),
+        "suffix_rate": F.coalesce(rate, F.lit(0.0)),
     }
 
 
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """(url, label) from a CSV file or folder with these two columns under a header; label 1 is to be blocked."""
+    return spark.read.option("header", True).schema("url string, label int").csv(path)
+
+
 def seed_urls(spark: SparkSession, n: int = SEED_URLS) -> DataFrame:
     """(url, label): a labelled table made from a rule; label 1 is to be blocked.
 
     Wanted URLs have pronounceable hosts and page paths. Unwanted ones have the
     forms of advertising, spam and typing traps: hyphenated bait words, digits in
-    hosts, long random labels, many parameters.
+    hosts, long random labels, many parameters. The words are examples of the
+    form only: no feature sees a word.
     """
     draw = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(1_000_003)).cast("int")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), draw(k) % len(values) + 1)
     parts = ["the", "ther", "on", "ing", "ti", "re", "ea", "sh", "ble", "an", "or", "nd", "st", "ha", "la", "mi", "so", "ra"]
     word = lambda k: F.concat(pick(parts, k), pick(parts, k + 1), F.when(draw(k + 2) % 2 == 0, pick(parts, k + 3)).otherwise(""))
-    bait = ["spam", "ads", "cheap", "free", "win", "casino", "pills", "bets", "adult", "track", "click", "promo", "loan", "deal", "bonus", "farm", "x", "cash"]
+    bait = ["crypto", "jackpot", "vip", "hot", "slots", "lotto", "offer", "promo", "loan", "deal", "bonus", "coupon", "dating", "poker", "mega", "z", "cash", "click"]
     tld = pick(["com", "net", "org", "info", "io", "de", "fr", "es"], 1)
     front = pick(["", "www.", "m.", "blog.", "", "www."], 2)
     site = F.when(draw(3) % 3 == 0, F.concat(word(10), F.lit("."), word(20))).otherwise(word(10))
@@ -124,19 +129,22 @@ def seed_urls(spark: SparkSession, n: int = SEED_URLS) -> DataFrame:
 
 @dataclass
 class UrlTrees:
-    statistics: dict[str, tuple[float, float]]
+    statistics: list[tuple[str, float, float]]  # suffix, log odds of being blocked, share of the labelled URLs
     trees: list[tuple[float, str]]  # weight and the tree as the library prints it
     names: list[str]
 
-    def score(self, url: Column) -> Column:
-        """P(block): the logistic of twice the boosted margin."""
-        cols = features(url, self.statistics)
-        return self.from_features(cols)
+    def with_features(self, rows: DataFrame, url: Column, name: str) -> DataFrame:
+        """``rows`` with the features of ``url`` as a struct column."""
+        suffix, odds, rate = spare(rows, "suffix", "odds", "rate")
+        known = rows.sparkSession.createDataFrame(self.statistics, f"{suffix} string, {odds} double, {rate} double")
+        joined = rows.withColumn(suffix, suffix_of(host_of(url))).join(F.broadcast(known), suffix, "left")
+        return joined.select(*rows.columns, F.struct(*[c.alias(n) for n, c in features(url, F.col(odds), F.col(rate)).items()]).alias(name))
 
-    def from_features(self, cols: dict[str, Column]) -> Column:
+    def score(self, features: Column) -> Column:
+        """P(block) from the struct of features: the logistic of twice the boosted margin."""
         total = F.lit(0.0)
         for weight, text in self.trees:
-            total = total + F.lit(weight) * _expression(text, [cols[n] for n in self.names])
+            total = total + F.lit(weight) * _expression(text, [features[n] for n in self.names])
         return 1 / (1 + F.exp(-2 * total))
 
 
@@ -158,24 +166,27 @@ def _expression(text: str, cols: list[Column]) -> Column:
     return node()
 
 
-def fit(labelled: DataFrame, most: int = 50_000) -> UrlTrees:
+def fit(labelled: DataFrame, most: int = MOST) -> UrlTrees:
     """Train on at most ``most`` labelled URLs (url, label 0 or 1; 1: block), those whose URL hashes lowest.
 
-    Null labels are passed over. Where one label is missing, no tree is grown and every score is 0.5.
+    Null labels are passed over, null URLs read as empty ones; rows that repeat
+    count as often as they occur, with any label. Where one label is missing, as
+    in an empty table, no tree is grown and every score is 0.5. Other columns are
+    ignored.
     """
     rows = labelled.filter(F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("label"))
     rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(most)
-    stats = rows.groupBy(suffix_of(host_of(F.col("url"))).alias("s")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    total = sum(r.n for r in stats)
-    statistics = {r.s: (math.log((r.bad + 1) / (r.n - r.bad + 1)), r.n / total) for r in stats}
-    cols = features(F.col("url"), statistics)
-    names = list(cols)
-    table = rows.select("label", *[c.alias(n) for n, c in cols.items()])
-    kinds = [r[0] for r in rows.select("label").distinct().collect()]
-    if len(kinds) < 2:
-        return UrlTrees(statistics, [], names)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="all").fit(VectorAssembler(inputCols=names, outputCol="features").transform(table.coalesce(1)))
-    return UrlTrees(statistics, [(float(w), t.toDebugString) for w, t in zip(model.treeWeights, model.trees)], names)
+    suffix = suffix_of(host_of(F.col("url")))
+    counts = rows.groupBy(suffix.alias("s")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    total = sum(r.n for r in counts)
+    model = UrlTrees([(r.s, math.log((r.bad + 1) / (r.n - r.bad + 1)), r.n / total) for r in counts], [], list(features(F.lit(""), F.lit(0.0), F.lit(0.0))))
+    if sum(r.bad for r in counts) in (0, total):
+        return model
+    table = model.with_features(rows, F.col("url"), "f").select("label", "f.*")
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="all")
+    grown = gbt.fit(VectorAssembler(inputCols=model.names, outputCol="features").transform(table.coalesce(1)))
+    model.trees = [(float(w), t.toDebugString) for w, t in zip(grown.treeWeights, grown.trees)]
+    return model
 
 
 def judge(pages: DataFrame, model: UrlTrees, rules=RULES, key: str = "page_id") -> DataFrame:
@@ -183,12 +194,11 @@ def judge(pages: DataFrame, model: UrlTrees, rules=RULES, key: str = "page_id")
 
     A rule's verdict stands; without one, a score of one half or more blocks.
     Null and malformed URLs have an empty host and path and are judged by their
-    features. Other columns are ignored; an empty table gives an empty frame.
+    features, URLs of any length as a whole. Null and repeated page_ids keep
+    their rows. Other columns are ignored; an empty table gives an empty frame.
     """
     url = F.col("url").cast("string")
-    host, path = host_of(url), path_of(url)
-    base = pages.select(F.col(key), host.alias("host"), path.alias("path"), F.struct(*[c.alias(n) for n, c in features(url, model.statistics).items()]).alias("f"))
+    base = model.with_features(pages.select(F.col(key), url.alias("url")), F.col("url"), "f").select(key, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "f")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    score = model.from_features({n: F.col(f"f.{n}") for n in model.names})
-    out = base.select(key, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), score.alias("score"))
+    out = base.select(key, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), model.score(F.col("f")).alias("score"))
     return out.select(key, "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from refweave.llm import registry, urltrees
 from refweave.llm.shared import table
@@ -45,33 +46,37 @@ def test_rules(spark, model):
 def test_expression_equals_the_library(spark, model):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import functions as F
 
-    rows = urltrees.seed_urls(spark, 600)
-    cols = urltrees.features(F.col("url"), model.statistics)
-    data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(rows.select("url", F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in cols.items()])).coalesce(1)
+    rows = urltrees.seed_urls(spark, 600).withColumn("label", F.col("label").cast("double"))
+    data = VectorAssembler(inputCols=model.names, outputCol="features").transform(model.with_features(rows, F.col("url"), "f").select("label", "f", "f.*")).coalesce(1)
     fitted = GBTClassifier(maxIter=4, maxDepth=3, seed=1).fit(data)
-    own = urltrees.UrlTrees(model.statistics, [(float(w), t.toDebugString) for w, t in zip(fitted.treeWeights, fitted.trees)], list(cols))
-    for r in fitted.transform(data).withColumn("own", own.score(F.col("url"))).collect():
+    own = urltrees.UrlTrees(model.statistics, [(float(w), t.toDebugString) for w, t in zip(fitted.treeWeights, fitted.trees)], model.names)
+    for r in fitted.transform(data).withColumn("own", own.score(F.col("f"))).collect():
         assert abs(r.probability[1] - r.own) < 1e-9
 
 
 def test_features(spark, model):
-    from pyspark.sql import functions as F
-
     url = "https://a-b.c9.net/x/y/?q=1&r=2"
-    got = spark.createDataFrame([(url,)], "url string").select(*[c.alias(n) for n, c in urltrees.features(F.col("url"), model.statistics).items()]).first()
+    got = model.with_features(spark.createDataFrame([(url, "x")], "url string, suffix string"), F.col("url"), "f").first().f
     want = -sum(url.count(c) / len(url) * math.log2(url.count(c) / len(url)) for c in set(url))
     assert (got.url_length, got.depth, got.labels, got.hyphens, got.parameters) == (len(url), 2, 3, 1, 2)
     assert abs(got.url_entropy - want) < 1e-9 and abs(got.digit_ratio - 3 / len(url)) < 1e-9
+    assert (got.suffix_odds, got.suffix_rate) == next(x[1:] for x in model.statistics if x[0] == "net")
 
 
-def test_learns(spark, model):
-    from pyspark.sql import functions as F
+def test_every_suffix_has_statistics(spark, tmp_path):
+    rows = [(f"https://site{i}.s{i % 700}/a", i % 700 % 2) for i in range(1400)]
+    spark.createDataFrame(rows, "url string, label int").coalesce(1).write.option("header", True).csv(str(tmp_path / "urls"))
+    many = urltrees.fit(urltrees.read_labelled(spark, str(tmp_path / "urls")))
+    assert len(many.statistics) == 700
+    got = urltrees.judge(spark.createDataFrame([(i, f"https://other.s{i}/b") for i in range(700)], "page_id long, url string"), many)
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got.collect())
 
+
+def test_learns(spark, model):
     fresh = urltrees.seed_urls(spark, 5000).exceptAll(urltrees.seed_urls(spark))
-    right = fresh.select(((model.score(F.col("url")) >= 0.5).cast("int") == F.col("label")).cast("double").alias("r")).agg(F.avg("r")).first()[0]
-    assert right > 0.95
+    scored = model.with_features(fresh, F.col("url"), "f").select(((model.score(F.col("f")) >= 0.5).cast("int") == F.col("label")).cast("double").alias("r"))
+    assert scored.agg(F.avg("r")).first()[0] > 0.95
 
 
 def test_one_label(spark):
@@ -86,12 +91,15 @@ def test_whole_table(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     rows = got.collect()
     assert len(rows) == len(pages)
-    bait = good = 0
+    # The tables' unwanted hosts are made of words that no labelled URL holds.
+    known = {w for r in urltrees.seed_urls(spark).filter("label = 1").collect() for w in re.findall("[a-z]+", r.url)}
+    assert not known & set("spam farm ads track cheap pills adult free bets casino win".split())
+    bait = found = good = wrong = 0
     for r in rows:
         host, path, rule, verdict = brute(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
         if re.search(r"spam-farm|ads-track|cheap-pills|adult-x|free-bets|casino-win", host):
-            bait += r.score >= 0.5
+            bait, found = bait + 1, found + (r.score >= 0.5)
         else:
-            good += r.score >= 0.5
-    assert bait > 0 and good == 0
+            good, wrong = good + 1, wrong + (r.score >= 0.5)
+    assert bait and found >= 0.9 * bait and wrong <= 0.01 * good, (found, bait, wrong, good)
