@@ -1,11 +1,14 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by suffix-array matching.
 
-The distinct words of a batch are laid end to end and indexed by a suffix array
-that is as deep as the longest piece. Every piece finds its occurrences as one
+The distinct words of a batch that the task has not met before are laid end to
+end and indexed by a suffix array that is as deep as the longest piece; what a
+word became is remembered, so a repeated word is matched once. Every piece finds its occurrences as one
 range by binary search; the ranges give edges (position, length, piece), which
 are sorted by position. Relaxing them joins neighbouring symbols whose union is
 an edge, best score first and leftmost among equals, until no edge fits, for
-all words at once. What no piece covers becomes byte pieces.
+all words at once; words of more than ``LONG`` characters are relaxed one by one
+with a heap, in the same order and so to the same ids. What no piece covers
+becomes byte pieces.
 
 Pieces never hold the space mark behind another character, so words that begin
 with marks are independent of each other. The model must have an identity
@@ -321,8 +324,9 @@ def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = No
     Where ``verify``, the ids are decoded again: ``decoded_sha256`` digests what
     they spell and ``round_trip`` says whether it is the text, but for literal
     space marks, which read as spaces. Empty texts have no ids; null texts have
-    nulls in all of these. Columns of these names are replaced; an empty table
-    gives an empty frame. The pieces, a fixed table of the model, travel with the task.
+    nulls in all of these. Rows that repeat keep their rows, and equal texts have
+    equal ids. Columns of these names are replaced; an empty table gives an empty
+    frame. The pieces, a fixed table of the model, travel with the task.
     """
     pieces = _loaded(path)
     new = {"ids": ArrayType(IntegerType())} | ({"decoded_sha256": StringType(), "round_trip": BooleanType()} if verify else {})

@@ -46,8 +46,8 @@ def test_stages_against_brute_force(spark):
             want.append((r[0], text, r[2], r[3], len(text)))
     assert sorted(rows[2], key=repr) == sorted(want, key=repr)
 
-    near = test_minhash.brute([(r[0], r[1]) for r in rows[2]])
-    assert sorted(rows[3], key=repr) == sorted((r for r in rows[2] if near[r[0]][2]), key=repr)
+    near = near_at([(r[0], r[1]) for r in rows[2]], pipeline.NEAR)
+    assert sorted(rows[3], key=repr) == sorted((r for r in rows[2] if near[r[0]] == r[0]), key=repr)
 
     before = {r[0]: r for r in rows[3]}
     copies = Counter(r[0] for r in rows[4])
@@ -79,6 +79,29 @@ def test_run_and_empty(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_with_odd_rows_and_names(spark):
+    base = table(spark, SF, "documents").limit(60).collect()
+    clean = table(spark, SF, "documents").join(table(spark, SF, "labels").filter("quality = 1"), "doc_id").orderBy("doc_id")
+    long = "\n".join(r.text for r in clean.collect())
+    rows = [(*r, "a", "b", 1.5, 7, True) for r in base]
+    rows += [(*base[3], "a", "b", 1.5, 7, True)] * 20 + [(20_001, long, "en", "s", len(long), None, None, None, None, None), (base[5].doc_id, "Other words stand here, under an id that is in use.", "en", "s", 50, "x", "y", 0.5, 1, False)]
+    rows += [(None, None, None, None, None, None, None, None, None, None), (None, "no id", None, None, 5, None, None, None, None, None), (20_002, "", "en", "s", 0, "a", "b", 1.5, 7, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, _maybe string, score double, dropped int, mark boolean")
+    now = docs
+    for name, stage in pipeline.STAGES:
+        before, now = now, pipeline.stash(stage(spark, now, SF), name)
+        assert stage(spark, before.limit(0), SF).count() == 0
+        if name != "sentencepiece":
+            assert now.columns == docs.columns
+            gone = Counter(map(repr, map(tuple, now.collect())))
+        if name == "quality_classifier":
+            assert sum(r[0] == 20_001 for r in now.collect()) == 1
+        if name == "minhash_near_dedup":
+            assert max(Counter((r.doc_id, r.text) for r in now.filter("doc_id is not null and text <> ''").collect()).values()) == 1
+            assert any("under an id that is in use" in (r.text or "") for r in now.collect())
+    assert gone and now.filter("not round_trip").count() == 0
+
+
 def near_at(rows, percent):
     """Smallest key of each row's group at ``percent``, by brute force over all pairs."""
     sets, root = {k: test_minhash.brute_set(t) for k, t in rows}, {k: k for k, _ in rows}
