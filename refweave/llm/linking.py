@@ -123,6 +123,7 @@ def blocks_of(n: Column, block: int) -> Column:
 
 
 STAR = 512  # members of a bucket that meet one copy of its lead
+CROWD = 16  # blocks beside the largest component from which on a bucket is dealt to finer ones: tiles copy each payload once per block
 
 
 def _live(members: DataFrame) -> tuple[DataFrame, int]:
@@ -201,19 +202,19 @@ def link_buckets(
     ``members`` (bucket long, id long) holds a row at most once. ``items`` gives
     (id, payload) for the ids of a frame. ``star_test`` judges a pair in SQL and
     ``tile_test`` two lists of payloads at once, with the same outcome.
-    ``refine`` deals the rows (bucket, id, payload) of crowded buckets, those of
-    more than two blocks in several components, to finer ones (bucket, id) in
-    which every pair that links still meets.
+    ``refine`` deals the rows (bucket, id, payload) of buckets with more than
+    ``CROWD`` blocks outside their largest component to finer ones (bucket, id)
+    in which every pair that links still meets, so links do not depend on it.
     """
     live, total = _live(members)
     payload = stash(items(stash(live.select("id").distinct(), "ids")), "items")
     found, rows = _star(live, total, payload, star_test, None, block)
     if refine is not None:
-        crowded = rows.filter("bm + br > 2").select("bucket", "id")
+        crowded = rows.filter(F.col("br") > CROWD).select("bucket", "id")
         if not crowded.isEmpty():
             finer, many = _live(refine(crowded.join(payload, "id").select("bucket", "id", "payload")))
             found, more = _star(finer, many, payload, star_test, found, block)
-            rows = rows.filter("bm + br <= 2").union(more)
+            rows = rows.filter(F.col("br") <= CROWD).union(more)
 
     def verify(batches):
         edges: list[tuple[int, int]] = []

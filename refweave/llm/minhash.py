@@ -173,10 +173,9 @@ def _grouped(documents: DataFrame, percent: int, width: int, block: int) -> Data
         found = linking.link_buckets(members, items, star_test, lambda a, b: jaccard_table(a, b, percent), block, _finer(percent))
         found = stash(found, "found")
         made.pop()
-    placed = classes.select("hi", "lo", "first", "rows", "id").join(found, "id", "left").withColumn("class", F.coalesce("component", "id"))
-    least = placed.filter("component is not null").groupBy("class").agg(F.min("first").alias("least"))
-    placed = placed.join(least, "class", "left").select("hi", "lo", "rows", "class", F.coalesce("least", "first").alias("component_id"))
-    # Classes of one row that link with nothing are placed by themselves; only the others are looked up.
+    least = classes.join(found, "id").groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = join_salted(found, least, ["component"], "n", ["id"], found.count()).select("id", "component", "least")
+    placed = classes.select("hi", "lo", "first", "rows", "id").join(named, "id", "left").select("hi", "lo", "rows", F.coalesce("component", "id").alias("class"), F.coalesce("least", "first").alias("component_id"))
     out = join_salted(rows, placed, ["hi", "lo"], "rows", ["doc_id"], rows.count()).select("doc_id", "mark", "n_shingles", "class", "component_id")
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
     return out.union(alone)

@@ -112,6 +112,7 @@ def test_template_bucket_is_refined(spark, monkeypatch):
     texts = [template + " " + " ".join(f"u{k}x{rng.randrange(10**9)}" for _ in range(30)) for k in range(150)]
     texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:40]]
     rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    monkeypatch.setattr(linking, "CROWD", 2)
     calls = []
     finer = minhash._finer
     monkeypatch.setattr(minhash, "_finer", lambda percent: lambda f: calls.append(1) or finer(percent)(f))
