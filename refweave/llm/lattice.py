@@ -5,7 +5,8 @@ decodes every block to the nearest point of the E8 lattice. A vector enters the
 cell of its own points and the few neighbouring cells that lie nearest to it.
 Vectors that meet in a cell are candidates; ``linking`` verifies them by cosine
 without listing the pairs of a crowded cell. Inside each component found that
-way all cosines are then taken exactly, tile by tile, to count links.
+way all cosines are then taken exactly, tile by tile, to count links. Equal
+vectors are one class with a weight throughout.
 """
 
 from __future__ import annotations
@@ -15,19 +16,19 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm import linking
-from refweave.llm.shared import stash
+from refweave.llm.shared import join_salted, scratch, stash
 
 COSINE = 0.9
 SEED = 24061
 
 # (blocks, tables, probes, scale): at cosine 0.9 a pair meets with probability 0.99. One plan at every
 # size, so that links do not depend on the row count; three blocks keep cells small in large tables.
-PLAN = (3, 20, 6, 0.5)
-PLANS = (PLAN,)
+PLAN = (3, 12, 6, 0.45)
 
 
 def _roots() -> np.ndarray:
@@ -99,63 +100,77 @@ def cells(unit: np.ndarray, blocks: int, tables: int, probes: int, scale: float)
 
 
 def unit_vectors(embeddings: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(id, payload): double unit vectors of the rows that can link."""
+    """(id, payload) of every row: double unit vectors, null where a row can't link."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, keep = batch.column("id"), batch.column("v"), []
-            units = []
-            for k, v in enumerate(rows):
-                x = np.array(v.as_py(), dtype=object) if v.is_valid else np.zeros(0)
-                if not len(x) or any(c is None for c in x):
-                    continue
-                x = x.astype(np.float64)
-                if not np.isfinite(x).all() or not x.any():
-                    continue
-                x = x / np.abs(x).max()
-                units.append(x / np.sqrt(x @ x))
-                keep.append(k)
-            if keep:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(units, pa.list_(pa.float64()))], ["id", "payload"])
-
-    rows = embeddings.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+            ids, rows = batch.column("id"), batch.column("v")
+            rows = pc.if_else(ids.is_valid(), rows, pa.scalar(None, rows.type))
+            sizes = pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(rows.flatten(), np.nan).to_numpy(zero_copy_only=False)
+            begin = np.concatenate(([0], np.cumsum(sizes)))
+            out, good = np.zeros(len(flat)), np.zeros(len(sizes), bool)
+            for s in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == s)
+                place = begin[at][:, None] + np.arange(s)
+                x = flat[place]
+                fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                x, place = x[fine], place[fine]
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                out[place] = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0  # no negative zeros
+                good[at[fine]] = True
+            offsets = np.concatenate(([0], np.cumsum(np.where(good, sizes, 0)))).astype(np.int32)
+            units = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[np.repeat(good, sizes)]), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([ids, units], ["id", "payload"])
+
+    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return rows.mapInArrow(run, "id long, payload array<double>")
 
 
-def cosine_table(left: list, right: list) -> np.ndarray:
-    sizes = {len(x) for x in left} | {len(x) for x in right}
-    if len(sizes) == 1:
-        return np.stack(left) @ np.stack(right).T
-    out = np.full((len(left), len(right)), -2.0)
-    for s in sizes:
-        i, j = [k for k, x in enumerate(left) if len(x) == s], [k for k, x in enumerate(right) if len(x) == s]
-        if i and j:
-            out[np.ix_(i, j)] = np.stack([left[k] for k in i]) @ np.stack([right[k] for k in j]).T
+def dots(left: np.ndarray, right: np.ndarray, near: float) -> np.ndarray:
+    """Products of all pairs of rows; those about ``near`` are added up component by component, as SQL does it."""
+    out = left @ right.T
+    i, j = np.nonzero(np.abs(out - near) < 1e-9)
+    if len(i):
+        total = np.zeros(len(i))
+        for k in range(left.shape[1]):
+            total += left[i, k] * right[j, k]
+        out[i, j] = total
+    return out
+
+
+def linked_table(left: list, right: list, cosine: float) -> np.ndarray:
+    """Which pairs of two lists of unit vectors reach ``cosine``; vectors of different lengths do not."""
+    out = np.zeros((len(left), len(right)), bool)
+    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for s in np.intersect1d(a, b):
+        i, j = np.flatnonzero(a == s), np.flatnonzero(b == s)
+        out[np.ix_(i, j)] = dots(np.stack([left[k] for k in i]), np.stack([right[k] for k in j]), cosine) >= cosine
     return out
 
 
-def count_links(components: DataFrame, vectors: DataFrame, cosine: float, block: int) -> DataFrame:
-    """(id, n_links): within each component, tiles of two blocks at a time."""
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    rows = components.join(sizes, "component").withColumn("parts", linking.blocks_of(F.col("n"), block))
+def count_links(components: DataFrame, classes: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(id, k): the weight of all other classes that a class links with, by tiles of two blocks of a component at a time."""
+    sizes = stash(components.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    rows = join_salted(components, sizes, ["component"], "n", ["id"], components.count()).withColumn("parts", linking.blocks_of(F.col("n"), block))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.least(s, F.col("own")).alias("x"), F.greatest(s, F.col("own")).alias("y"), F.when(F.col("own") <= s, 0).otherwise(1).alias("side")))
-    dealt = rows.withColumn("own", own).select("component", "id", F.explode(tiles).alias("t")).select("component", "id", "t.*").join(vectors, "id")
+    dealt = rows.withColumn("own", own).select("component", "id", F.explode(tiles).alias("t")).select("component", "id", "t.*").join(classes.select("id", "payload", "weight"), "id")
 
     def run(batches):
         for g in linking.groups(batches, ["component", "x", "y"]):
             a = g["side"] == 0
-            left = g["payload"][a].tolist()
+            left, weight = g["payload"][a].tolist(), g["weight"]
             if g["x"][0] == g["y"][0]:
-                linked = cosine_table(left, left) >= cosine
+                linked = linked_table(left, left, cosine)
                 np.fill_diagonal(linked, False)
-                yield pd.DataFrame({"id": g["id"][a], "k": linked.sum(axis=1)})
+                yield pd.DataFrame({"id": g["id"][a], "k": linked @ weight[a]})
             elif a.any() and not a.all():
-                linked = cosine_table(left, g["payload"][~a].tolist()) >= cosine
-                yield pd.DataFrame({"id": np.concatenate((g["id"][a], g["id"][~a])), "k": np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))})
+                linked = linked_table(left, g["payload"][~a].tolist(), cosine)
+                yield pd.DataFrame({"id": np.concatenate((g["id"][a], g["id"][~a])), "k": np.concatenate((linked @ weight[~a], weight[a] @ linked))})
 
     counted = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInPandas(run, "id long, k long")
-    return counted.groupBy("id").agg(F.sum("k").alias("n_links"))
+    return counted.groupBy("id").agg(F.sum("k").alias("k"))
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int = 256) -> DataFrame:
@@ -164,9 +179,18 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, and so do rows with a null vec_id, whose component_id is
     null and which are kept. Vectors of different lengths never link. Rows that
-    repeat a vec_id and its vector are one vector. Other columns are ignored.
+    repeat a vec_id and its vector, but for its length, are one vector. Rows
+    that repeat a vec_id with another vector are vectors of their own: each has
+    its own links and component, and they link with each other if they are near
+    enough. Other columns are ignored; an empty table gives an empty frame.
     """
-    vectors = stash(unit_vectors(embeddings).distinct(), "vectors")
+    one, two = F.xxhash64("payload").alias("h1"), F.xxhash64(F.lit(1), "payload").alias("h2")
+    vectors = stash(unit_vectors(embeddings).select("id", one, two, "payload"), "vectors")
+    able = vectors.filter("payload is not null")
+    weights = able.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    listed = able.groupBy("h1", "h2").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("rows"))
+    # The number of a class is none of its vec_ids, which may repeat with other vectors. It is fixed once written.
+    classes = stash(listed.join(weights, ["h1", "h2"]).withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def run(batches):
         for batch in batches:
@@ -176,17 +200,27 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
             for s in np.unique(sizes):
                 at = np.flatnonzero(sizes == s)
                 unit = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), s)
-                hashed = cells(unit, *PLAN)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64).ravel()), pa.array(np.repeat(ids[at], hashed.shape[1]))], ["bucket", "id"])
+                hashed = np.sort(cells(unit, *PLAN), axis=1)
+                once = np.concatenate((np.ones((len(at), 1), bool), hashed[:, 1:] != hashed[:, :-1]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)[once]), pa.array(np.repeat(ids[at], once.sum(axis=1)))], ["bucket", "id"])
 
-    members = vectors.mapInArrow(run, "bucket long, id long").distinct()
+    def members_of(frame):
+        return stash(frame.select("id", "payload").mapInArrow(run, "bucket long, id long"), "members")
 
     def star_test(one, two):
         dot = F.aggregate(F.zip_with(one, two, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
         return (F.size(one) == F.size(two)) & (dot >= cosine)
 
-    found = stash(linking.link_buckets(members, lambda ids: vectors.join(ids, "id", "left_semi"), star_test, lambda a, b: cosine_table(a, b) >= cosine, block), "found")
-    links = count_links(found, vectors, cosine, block)
-    out = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).join(found.join(links, "id").withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    with scratch(embeddings.sparkSession) as made:
+        found = linking.link_buckets(members_of(classes), lambda ids: classes.select("id", "payload").join(ids, "id", "left_semi"), star_test, lambda a, b: linked_table(a, b, cosine), block)
+        found = stash(found, "found")
+        made.pop()
+        links = stash(count_links(found, classes, cosine, block), "links")
+        made.pop()
+    least = classes.join(found, "id").groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_salted(found, least, ["component"], "n", ["id"], found.count()).select("id", "component_id")
+    placed = classes.select("h1", "h2", "first", "weight", "rows", "id").join(named, "id", "left").join(links, "id", "left")
+    placed = placed.select("h1", "h2", "rows", (F.coalesce("k", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    out = join_salted(able.select("id", "h1", "h2"), placed, ["h1", "h2"], "rows", ["id"], able.count()).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    alone = vectors.filter("payload is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
