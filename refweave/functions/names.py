@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,24 +11,27 @@ from pyspark.sql import functions as F
 from refweave.functions.latex import mapped, strip_accents, to_unicode
 
 # Fixed word lists.
-PARTICLES = frozenset("van von der den de del della di da dos das du la le el al bin ibn ben ter ten af av zu vom op st".split())
-SUFFIXES = frozenset("jr sr ii iii iv v phd md esq".split())
+PARTICLES = frozenset({
+    "van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "du", "la", "le", "el", "al", "bin", "ibn", "ben", "ter", "ten", "af",
+    "av", "zu", "vom", "op", "st",
+})
+SUFFIXES = frozenset({"jr", "sr", "ii", "iii", "iv", "v", "phd", "md", "esq"})
 OTHERS = frozenset({"others", "et al", "et al."})
 
 PERSON = "struct<display:string,family:string,given:string,suffix:string,family_key:string,given_initial:string>"
 PEOPLE = f"array<{PERSON}>"
 
 
-def family_key(family: str) -> str:
-    return re.sub("[^a-z]", "", strip_accents(family).casefold())
-
-
-def given_initial(given: str) -> str:
-    return next((c.casefold() for c in strip_accents(given) if c.isalpha()), "")
+_NOT_LETTERS = re.compile("[^a-z]+")
 
 
 def person(display: str, family: str, given: str = "", suffix: str = "") -> dict:
-    return dict(display=display, family=family, given=given, suffix=suffix, family_key=family_key(family), given_initial=given_initial(given))
+    """A person with the keys that names are compared by: bare letters of the surname, first letter of the given name."""
+    initial = re.search(r"[^\W\d_]", strip_accents(given))
+    return {
+        "display": display, "family": family, "given": given, "suffix": suffix,
+        "family_key": _NOT_LETTERS.sub("", strip_accents(family).casefold()), "given_initial": initial[0].casefold() if initial else "",
+    }
 
 
 def split_people(field: str) -> list[str]:
@@ -45,34 +49,41 @@ def split_people(field: str) -> list[str]:
     return [c.strip() for c in cuts if c.strip()]
 
 
-def _suffix(word: str) -> bool:
-    return word.rstrip(".").casefold() in SUFFIXES
+def _is(words: frozenset[str]) -> Callable[[str], bool]:
+    return lambda word: word.rstrip(".").casefold() in words
+
+
+_suffix, _particle = _is(SUFFIXES), _is(PARTICLES)
+
+def _natural(text: str) -> tuple[str, str, str]:
+    """(family, given, suffix) of words without commas."""
+    words = text.split()
+    if len(words) < 2:
+        return (words or [text])[0], "", ""
+    # A letter a word: s a suffix, p a particle, w any other. The particles right before the last word belong to the surname.
+    kinds = "".join("s" if _suffix(w) else "p" if _particle(w) else "w" for w in words)
+    end = len(words) - (kinds[-1] == "s" and len(words) > 2)
+    family = 1 + len(kinds[1 : end - 1].rstrip("p")) if end > 1 else 0
+    return " ".join(words[family:end]), " ".join(words[:family]), " ".join(words[end:])
 
 
 def parse_person(value: str) -> dict:
-    """One name: braced whole, "Family, Given", "Family, Suffix, Given", or in natural order with particles."""
-    shown, raw = to_unicode(value).strip(), value.strip()
-    if raw[:1] == "{" and raw[-1:] == "}" and raw.count("{") == 1:
+    """One name: a group of its own, "Family, Given", "Family, Suffix, Given", or in natural order, with a suffix behind a comma or not."""
+    shown = to_unicode(value)
+    if re.fullmatch(r"\s*\{[^{]*\}\s*", value):
         return person(shown, shown)
-    parts = [p.strip() for p in shown.split(",")]
-    if len(parts) == 2 and _suffix(parts[1]):
-        head = parse_person(parts[0])
-        return person(shown, head["family"], head["given"], parts[1])
-    if len(parts) > 1:
-        return person(shown, parts[0], parts[-1], parts[1] if len(parts) > 2 and _suffix(parts[1]) else "")
-    words = shown.split()
-    if len(words) < 2:
-        return person(shown, words[0] if words else shown)
-    tail = words.pop() if len(words) > 2 and _suffix(words[-1]) else ""
-    k = len(words) - 1
-    while k > 1 and words[k - 1].casefold().rstrip(".") in PARTICLES:
-        k -= 1
-    return person(shown, " ".join(words[k:]), " ".join(words[:k]), tail)
+    head, *rest = (part.strip() for part in shown.split(","))
+    suffix = rest[0] if rest and _suffix(rest[0]) else ""
+    if not rest or rest == [suffix] and suffix:
+        family, given, behind = _natural(head)
+        return person(shown, family, given, suffix or behind)
+    return person(shown, head, rest[-1], suffix if len(rest) > 1 else "")
 
 
 def parse_people(field: str) -> list[dict]:
-    parts = [p for p in split_people(field) if to_unicode(p).strip().casefold() not in OTHERS]
-    return [p for p in map(parse_person, parts) if p["family_key"] or p["display"]]
+    """The people of a field, in order; "and others" names nobody."""
+    named = (parse_person(part) for part in split_people(field) if to_unicode(part).casefold() not in OTHERS)
+    return [p for p in named if p["display"]]
 
 
 people = mapped(parse_people, PEOPLE)
@@ -99,14 +110,14 @@ def people_match(local: Column, known: Column) -> Column:
 
 
 def people_match_unordered(local: list[dict], known: list[dict]) -> bool:
-    """Each local person takes the first one left over that fits."""
-    rest = list(known)
+    """As ``people_match``, in any order: each local person is given one of the known people that fit, the first that is free."""
+    free = dict(enumerate(known))
     for a in local:
-        fit = next((b for b in rest if a["family_key"] == b["family_key"] and (not a["given_initial"] or not b["given_initial"] or a["given_initial"] == b["given_initial"])), None)
-        if fit is None:
+        fits = [k for k, b in free.items() if a["family_key"] == b["family_key"] and len({a["given_initial"], b["given_initial"]} - {""}) < 2]
+        if not fits:
             return False
-        rest.remove(fit)
-    return bool(local) and bool(known) and len(local) <= len(known)
+        del free[fits[0]]
+    return 0 < len(local) <= len(known)
 
 
 def initials_only(given: Column) -> Column:

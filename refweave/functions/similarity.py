@@ -13,13 +13,17 @@ def tokens(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(key, " "), lambda w: w != ""))
 
 
-def dice(left: Column, right: Column) -> Column:
-    """Share of common words, from 0 to 1; 0 where both are empty."""
-    a, b = tokens(left), tokens(right)
+def shared(a: Column, b: Column) -> Column:
+    """Share of common words of two arrays of distinct words, from 0 to 1; 0 where both are empty."""
     total = F.size(a) + F.size(b)
     return F.when(total > 0, 2.0 * F.size(F.array_intersect(a, b)) / total).otherwise(0.0)
 
 
+def dice(left: Column, right: Column) -> Column:
+    """``shared`` words of two keys. Each key is split once where it is used once; give arrays to ``shared`` to keep them."""
+    return shared(tokens(left), tokens(right))
+
+
 def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 

@@ -20,26 +20,44 @@ def bibtex_value(field: Column, value: Column) -> Column:
     return F.when(field == "pages", F.regexp_replace(F.trim(value), r"\s*-{1,3}\s*", "--")).otherwise(value)
 
 
+def _remedies(rows: DataFrame) -> DataFrame:
+    """Corrections of problem rows that know their entry's key, doi, outcome, sure, found_doi and whether it is ``critical``."""
+    open_ = (F.col("outcome") == "found") & ~F.col("critical")
+    remedy = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    local = F.when((F.col("severity") != "info") & (F.col("authoritative") != ""), F.element_at(remedy(LOCAL), F.col("code")))
+    known = F.when(open_ & (F.col("sure") >= 1.0) & F.col("authoritative").isNotNull(), F.element_at(remedy(FROM_REGISTRY), F.col("code")))
+    picked = rows.select("bib_id", "ord", "key", F.coalesce(known, local).alias("field"), F.col("local").alias("old"), "authoritative", F.struct(known.isNotNull(), "rule_ord", "seq").alias("rank")).filter("field is not null")
+    best = picked.groupBy("bib_id", "ord", "key", "field").agg(F.max_by(F.struct("old", "authoritative"), "rank").alias("b"))
+    return best.select("bib_id", "ord", "key", "field", "b.old", bibtex_value(F.col("field"), F.col("b.authoritative")).alias("new"), F.lit(False).alias("added"))
+
+
+def _additions(entries: DataFrame) -> DataFrame:
+    open_ = (F.col("outcome") == "found") & ~F.col("critical")
+    added = entries.filter(open_ & F.col("doi").isNull() & F.col("found_doi").isNotNull() & (F.col("sure") >= DOI_FROM))
+    return added.select("bib_id", "ord", "key", F.lit("doi").alias("field"), F.lit(None).cast("string").alias("old"), F.col("found_doi").alias("new"), F.lit(True).alias("added"))
+
+
+STATE = ("bib_id", "ord", "key", "doi", "outcome")
+
+
 def plan_fixes(resolved: DataFrame, problems: DataFrame) -> DataFrame:
     """(bib_id, ord, key, field, old, new, added): at most one correction per field, the registry's before a local one.
 
     An entry with a critical finding only gets local ones; fields are corrected
     from the registry on a certain match, and a missing DOI is added on a near-certain one.
     """
-    critical = F.max((F.col("severity") == "critical").cast("int")).alias("critical")
-    state = problems.groupBy("bib_id", "ord").agg(critical)
-    entries = resolved.select("bib_id", "ord", "key", "doi", "outcome", F.col("confidence").alias("sure"), F.col("known.doi").alias("found_doi")).join(state, ["bib_id", "ord"], "left")
-    open_ = (F.col("outcome") == "found") & (F.coalesce("critical", F.lit(0)) == 0)
-    remedy = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    local = F.when((F.col("severity") != "info") & (F.col("authoritative") != ""), F.element_at(remedy(LOCAL), F.col("code")))
-    known = F.when(open_ & (F.col("sure") >= 1.0) & F.col("authoritative").isNotNull(), F.element_at(remedy(FROM_REGISTRY), F.col("code")))
-    rows = problems.join(entries, ["bib_id", "ord"]).select(
-        "bib_id", "ord", "key", F.coalesce(known, local).alias("fix_field"), F.col("local").alias("old"), "authoritative", F.struct(known.isNotNull(), "rule_ord", "seq").alias("rank")
-    ).filter("fix_field is not null")
-    best = rows.groupBy("bib_id", "ord", "key", F.col("fix_field").alias("field")).agg(F.max_by(F.struct("old", "authoritative"), "rank").alias("b"))
-    changed = best.select("bib_id", "ord", "key", "field", "b.old", bibtex_value(F.col("field"), F.col("b.authoritative")).alias("new"), F.lit(False).alias("added"))
-    added = entries.filter(open_ & F.col("doi").isNull() & F.col("found_doi").isNotNull() & (F.col("sure") >= DOI_FROM))
-    return changed.union(added.select("bib_id", "ord", "key", F.lit("doi"), F.lit(None).cast("string"), "found_doi", F.lit(True)))
+    state = problems.groupBy("bib_id", "ord").agg(F.bool_or(F.col("severity") == "critical").alias("_c"))
+    entries = resolved.select(*STATE, F.col("confidence").alias("sure"), F.col("known.doi").alias("found_doi")).join(state, ["bib_id", "ord"], "left")
+    entries = entries.withColumn("critical", F.coalesce("_c", F.lit(False))).drop("_c")
+    return _remedies(problems.join(entries, ["bib_id", "ord"])).union(_additions(entries))
+
+
+def plan_row_fixes(rows: DataFrame) -> DataFrame:
+    """As ``plan_fixes``, of entries that carry their ``findings`` (see ``rules.with_findings``): one pass, no join."""
+    critical = F.exists("findings", lambda f: f["p"]["severity"] == "critical")
+    entries = rows.select(*STATE, F.col("confidence").alias("sure"), F.col("known.doi").alias("found_doi"), critical.alias("critical"), "findings")
+    found = entries.withColumn("f", F.explode_outer("findings")).filter("f is not null").select(*STATE, "sure", "found_doi", "critical", "f.rule_ord", "f.seq", "f.p.*")
+    return _remedies(found).union(_additions(entries))
 
 
 def describe(fixes: DataFrame) -> DataFrame:

@@ -32,10 +32,13 @@ def entry_facts(entries: DataFrame) -> DataFrame:
     }
     kind = lookup(KIND_OF_ENTRY, F.lower("entry_type"), "other")
     arxiv = extract_arxiv(raw)
-    once = entries.select(
-        *entries.columns, *[unicode_text(c).alias(f"_{n}") for n, c in shown.items()], people(said("author", "editor")).alias("_authors"),
-        title_keys(said("title")).alias("title_key"), venue_keys(said(*VENUE_FIELDS)).alias("venue_key"),
-        extract_doi(raw).alias("doi"), arxiv.alias("arxiv_id"),
+    # Raw values are columns of their own first, so that what reads them several times does not repeat the look-up.
+    shown |= {"author": said("author", "editor"), "doi": extract_doi(raw), "arxiv": arxiv}
+    read = entries.select(*entries.columns, *[c.alias(f"_raw_{n}") for n, c in shown.items()])
+    at = lambda n: F.col(f"_raw_{n}")
+    once = read.select(
+        *entries.columns, *[unicode_text(at(n)).alias(f"_{n}") for n in shown if n not in ("author", "doi", "arxiv")], people(at("author")).alias("_authors"),
+        title_keys(at("title")).alias("title_key"), venue_keys(at("venue")).alias("venue_key"), at("doi").alias("doi"), at("arxiv").alias("arxiv_id"),
     )
     text = lambda n: present(F.col(f"_{n}"))
     return once.select(

@@ -11,8 +11,8 @@ from refweave.functions.similarity import author_score, confidence, dice, simila
 from refweave.operators.project import FACTS
 
 ACCEPT = 0.65  # fixed: a candidate that scores lower is no match
-ROWS = 5  # fixed: candidates that a search gives at most
-RARE = 3  # words of a title that block its candidates, those in the fewest works
+ROWS = 5  # fixed: titles that a search gives at most
+SHARE = 0.4  # words of both titles that a search hit has in common at least (Dice)
 
 FLAGS = ("retracted", "withdrawn", "expression_of_concern", "update_notices", "published_version_doi")
 
@@ -20,7 +20,7 @@ FLAGS = ("retracted", "withdrawn", "expression_of_concern", "update_notices", "p
 def as_records(works: DataFrame) -> DataFrame:
     """(doi, known struct): one row per DOI, the smallest record where several claim it."""
     keep = [c for c in (*FACTS, *FLAGS) if c in works.columns]
-    return works.filter("doi is not null").select("doi", F.struct(*keep).alias("known")).groupBy("doi").agg(F.first("known").alias("known"))
+    return works.filter("doi is not null").select("doi", F.struct(*keep).alias("known")).groupBy("doi").agg(F.min("known").alias("known"))
 
 
 def by_doi(entries: DataFrame, works: DataFrame) -> DataFrame:
@@ -29,40 +29,63 @@ def by_doi(entries: DataFrame, works: DataFrame) -> DataFrame:
     return out.select(*entries.columns, "known", F.when(F.col("known").isNotNull(), "found").otherwise("not_found").alias("outcome"), F.when(F.col("known").isNotNull(), 1.0).alias("confidence"), F.lit(None).cast("string").alias("detail"))
 
 
-def candidates(entries: DataFrame, works: DataFrame, rows: int = ROWS, rare: int = RARE) -> DataFrame:
-    """(bib_id, ord, pos, known): for each entry the works that share one of its rarest title words, best word share first.
+def similar_keys(asked: DataFrame, there: DataFrame, share: float = SHARE) -> DataFrame:
+    """(q, t, share): all pairs of keys of ``asked`` (q) and ``there`` (t), each distinct, with a word share of ``share`` or more.
 
-    Rarity is counted over the works' titles. Only pairs that meet in a word are
-    formed; the words by which works are found are their own rarest as well, so
-    no common word ever joins many to many.
+    Exact: a key of n words shares at least n * share / (2 - share) of them with
+    such a partner, so both sides have one of their other words plus one, the
+    rarest first, in common. Only keys that meet in such a word are compared.
     """
-    keyed = works.filter("title is not null").select(F.struct(*[c for c in (*FACTS, *FLAGS) if c in works.columns]).alias("known"), title_keys("title").alias("work_key"))
-    keyed = keyed.withColumn("work", F.xxhash64("known.doi", "work_key"))
-    listed = keyed.select("work", "known", "work_key", F.explode(tokens(F.col("work_key"))).alias("word"))
-    often = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    need = share / (2 - share)
 
-    def rarest(frame, keys):
-        order = Window.partitionBy(*keys).orderBy("n", "word")
-        return frame.join(often, "word").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rare).drop("_r", "n")
+    def listed(keys, name):
+        return keys.select(F.col(name), F.explode(tokens(F.col(name))).alias("word"))
 
-    asked = entries.filter("title_key is not null").select("bib_id", "ord", "title_key", F.explode(tokens(F.col("title_key"))).alias("word"))
-    pairs = rarest(asked, ["bib_id", "ord"]).join(rarest(listed, ["work"]), "word").drop("word").dropDuplicates(["bib_id", "ord", "work"])
-    best = Window.partitionBy("bib_id", "ord").orderBy(F.desc("share"), "work_key", "work")
-    ranked = pairs.withColumn("share", dice(F.col("title_key"), F.col("work_key"))).withColumn("pos", F.row_number().over(best) - 1)
-    return ranked.filter(F.col("pos") < rows).select("bib_id", "ord", "pos", "known")
+    often = listed(there, "t").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(keys, name):
+        # Words that no other side has come first: they cost nothing and use up the prefix.
+        known = listed(keys, name).join(often, "word", "left").groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ws"))
+        prefix = F.size("ws") - F.ceil(F.size("ws") * F.lit(need) - 1e-9).cast("int") + 1
+        return known.select(name, F.explode(F.slice("ws", F.lit(1), prefix)).alias("w")).filter("w.n > 0").select(name, "w.word")
+
+    met = rarest(asked, "q").join(rarest(there, "t"), "word").select("q", "t").distinct()
+    return met.withColumn("share", dice(F.col("q"), F.col("t"))).filter(F.col("share") >= share)
+
+
+def candidates(entries: DataFrame, works: DataFrame, rows: int = ROWS, share: float = SHARE) -> DataFrame:
+    """(bib_id, ord, pos, known): for each entry the works of the ``rows`` titles that share the most words with its own.
+
+    Ties go by the title keys, and works of one title have one place. A search is made once for each distinct title, over distinct titles. Works
+    that agree in title key, people and year score alike, and the smallest record
+    stands for them, so copies on either side never join many to many.
+    """
+    keep = [c for c in (*FACTS, *FLAGS) if c in works.columns]
+    keyed = works.filter("title is not null").select(F.struct(*keep).alias("known"), title_keys("title").alias("t")).filter("t <> ''")
+    people = F.transform("known.authors", lambda p: p["family_key"])
+    records = keyed.groupBy("t", people.alias("people"), F.col("known.year").alias("year")).agg(F.min("known").alias("known"))
+    asked = entries.filter("title_key is not null").select(F.col("title_key").alias("q"))
+    pairs = similar_keys(asked.distinct(), records.select("t").distinct(), share)
+    best = Window.partitionBy("q").orderBy(F.desc("share"), "t")
+    kept = pairs.withColumn("pos", F.row_number().over(best) - 1).filter(F.col("pos") < rows)
+    found = kept.join(records.select("t", "known"), "t").select("q", "pos", "known")
+    return entries.select("bib_id", "ord", F.col("title_key").alias("q")).join(found, "q").select("bib_id", "ord", "pos", "known")
 
 
 def best_match(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``entries`` with the best of ``found`` (bib_id, ord, pos, known): the first of the highest score, if that is accepted."""
+    """``entries`` with the best of ``found`` (bib_id, ord, pos, known): the first of the highest score, if that is accepted.
+
+    Among equal scores and places the smallest record wins, so reruns agree.
+    """
     keyed = found.withColumn("_k", title_keys("known.title")).join(entries.select("bib_id", "ord", "title_key", "authors", "year"), ["bib_id", "ord"])
     title = F.when(F.col("title_key").isNotNull() & F.col("known.title").isNotNull(), similarity(F.col("title_key"), F.col("_k")))
     score = F.coalesce(confidence(title, author_score(F.col("authors"), F.col("known.authors")), year_score(F.col("year"), F.col("known.year"))), F.lit(0.0))
-    scored = keyed.withColumn("score", score).groupBy("bib_id", "ord").agg(F.max(F.struct(F.col("score"), (-F.col("pos")).alias("p"))).alias("top"), F.max_by("known", F.struct(F.col("score"), (-F.col("pos")).alias("p"))).alias("k"))
+    scored = keyed.withColumn("score", score).groupBy("bib_id", "ord").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("pos").alias("p"), F.col("known").alias("k"))).alias("top"))
     out = entries.join(scored, ["bib_id", "ord"], "left")
-    top = F.col("top.score")
+    top = -F.col("top.s")
     accepted = F.coalesce(top >= ACCEPT, F.lit(False))
     detail = F.when(F.col("title").isNull(), None).when(top.isNull(), "no results").when(~accepted, F.concat(F.lit("no candidate scored above 0.65 (best was "), F.format_number(F.bround(top, 2), 2), F.lit(")")))
-    return out.select(*entries.columns, F.when(accepted, F.col("k")).alias("known"), F.when(accepted, "found").otherwise("not_found").alias("outcome"), F.when(accepted, top).alias("confidence"), detail.alias("detail"))
+    return out.select(*entries.columns, F.when(accepted, F.col("top.k")).alias("known"), F.when(accepted, "found").otherwise("not_found").alias("outcome"), F.when(accepted, top).alias("confidence"), detail.alias("detail"))
 
 
 def resolve(entries: DataFrame, works: DataFrame, replies: DataFrame | None = None) -> DataFrame:

@@ -31,6 +31,14 @@ def entry_reports(resolved: DataFrame, problems: DataFrame) -> DataFrame:
     return rows.select("bib_id", "ord", "key", "entry_type", "line", verdict.alias("status"), (F.col("outcome") == "found").alias("resolved"), F.coalesce(F.transform("ps", lambda x: x["p"]), F.array().cast(f"array<{kind}>")).alias("problems"))
 
 
+def row_reports(rows: DataFrame) -> DataFrame:
+    """As ``entry_reports``, of entries that carry their ``findings`` (see ``rules.with_findings``): no join, no shuffle."""
+    worst = F.array_max(F.transform("findings", lambda f: severity_rank(f["p"]["severity"])))
+    found = F.col("outcome") == "found"
+    verdict = status(F.col("outcome").isin("network_error", "offline_miss"), worst, found)
+    return rows.select("bib_id", "ord", "key", "entry_type", F.col("start_line").alias("line"), verdict.alias("status"), found.alias("resolved"), F.transform("findings", lambda f: f["p"]).alias("problems"))
+
+
 def summary(reports: DataFrame) -> DataFrame:
     """A row per bibliography with the number of entries of each status, zeros included, and the worst status."""
     rank = F.array_position(F.array(*map(F.lit, WORST)), F.col("status"))

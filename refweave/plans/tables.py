@@ -6,7 +6,7 @@ rows with hits, misses, gaps and ties that SQL can state as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.functions.names import PEOPLE
@@ -26,17 +26,13 @@ def as_entries(rows: DataFrame, bib_id, ord_, fields: dict, entry_type="article"
     )
 
 
-def first_line(text):
-    return F.split_part(text, F.lit("\n"), F.lit(1))
-
-
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bibliography per source, an entry per document; every fifth has no DOI, some have another year or an abbreviated venue."""
+    """A bibliography per source, an entry per document whose whole text is its title; every fifth has no DOI, some have another year or an abbreviated venue."""
     i = F.col("doc_id")
     start = F.col("n_chars") % 900
     doi = F.when(i % 5 != 0, F.concat(F.when(i % 3 == 0, "https://doi.org/10.5555/DOC.").otherwise("10.5555/doc."), i.cast("string")))
     fields = {
-        "title": first_line(F.col("text")), "author": F.when(i % 6 != 0, "Doe, Jane"), "doi": doi, "year": 1990 + i % 35 + (i % 7 == 0).cast("int"), "journal": F.concat(F.when(i % 9 == 0, "J. of ").otherwise("Journal of "), "lang"),
+        "title": F.col("text"), "author": F.when(i % 6 != 0, "Doe, Jane"), "doi": doi, "year": 1990 + i % 35 + (i % 7 == 0).cast("int"), "journal": F.concat(F.when(i % 9 == 0, "J. of ").otherwise("Journal of "), "lang"),
         "volume": i % 40, "pages": F.concat(start.cast("string"), F.lit("--"), (start + i % 50).cast("string")), "eprint": F.when(i % 17 == 0, F.concat(F.lit("2101."), F.lpad((i % 100000).cast("string"), 5, "0"))),
     }
     return as_entries(table(spark, sf_dir, "documents"), F.col("source"), i, fields)
@@ -50,7 +46,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     end = start + i % 50 + (i % 19 == 0).cast("int")
     return rows.select(
-        F.concat(F.lit("10.5555/doc."), i.cast("string")).alias("doi"), F.nullif(first_line(F.col("text")), F.lit("")).alias("title"), none.alias("subtitle"), F.array().cast(PEOPLE).alias("authors"),
+        F.concat(F.lit("10.5555/doc."), i.cast("string")).alias("doi"), F.nullif(F.col("text"), F.lit("")).alias("title"), none.alias("subtitle"), F.array().cast(PEOPLE).alias("authors"),
         (1990 + i % 35).cast("int").alias("year"), F.when(i % 23 == 0, F.concat(F.lit("Annals of Botany "), "lang")).otherwise(F.concat(F.lit("Journal of "), "lang")).alias("venue"),
         (i % 40 + (i % 11 == 0).cast("int")).cast("string").alias("volume"), none.alias("issue"), F.struct(start.cast("string").alias("start"), end.cast("string").alias("end")).alias("pages"),
         none.alias("publisher"), none.alias("arxiv_id"), F.lit("journal-article").alias("kind"), (F.col("toxic") == 1).alias("retracted"), F.lit(False).alias("withdrawn"),
@@ -61,11 +57,56 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose DOIs, titles and years collide: the same work under several keys."""
-    i, title = F.col("doc_id"), first_line(F.col("text"))
+    i, title = F.col("doc_id"), F.col("text")
     doi = F.when(i % 5 != 0, F.concat(F.lit("10.5555/"), "source", F.lit("."), (F.length(title) % 97).cast("string")))
     return as_entries(table(spark, sf_dir, "documents"), F.col("source"), i, {"title": title, "doi": doi, "year": 1990 + F.col("n_chars") % 35})
 
 
+def part_title(key, *more) -> Column:
+    """Four words that few parts have, and others."""
+    return F.concat_ws(" ", *[F.concat(F.lit(letter), (key % n).cast("string")) for letter, n in (("a", 1499), ("b", 997), ("c", 613), ("d", 389))], *more)
+
+
+def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bibliography per brand, an entry per part: a third have a DOI, some of the rest a malformed one; the name is the author."""
+    k = F.col("p_partkey")
+    fields = {
+        "title": part_title(k), "author": F.initcap("p_name"), "year": 1950 + k % 60,
+        "doi": F.when(k % 3 == 0, F.concat(F.lit("10.5555/part."), k.cast("string"))).when(k % 9 == 1, F.concat(F.lit("see part "), k.cast("string"))),
+    }
+    return as_entries(table(spark, sf_dir, "part"), F.col("p_brand"), k, fields)
+
+
+def part_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as registered works, but for every seventh: titles in other words or another order, other people, shorter and later editions."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    words = F.split(part_title(k), " ")
+    main = (
+        F.when(k % 5 == 1, F.concat_ws(" ", F.reverse(words))).when((k % 5 == 2) & (k % 3 == 0), F.concat_ws(" ", F.slice(words, 1, 2), F.concat(F.lit("other"), k.cast("string")), F.lit("title")))
+        .when(k % 5 == 3, part_title(k, F.lit("revisited"))).otherwise(part_title(k))
+    )
+    given, family = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2)))
+    shown = F.when(k % 4 == 2, F.concat(F.left(given, F.lit(1)), F.lit("."))).otherwise(given)
+    person = F.struct(F.concat_ws(" ", shown, F.col("f")).alias("display"), F.col("f").alias("family"), shown.alias("given"), F.lit("").alias("suffix"), F.lower("f").alias("family_key"), F.lower(F.left(given, F.lit(1))).alias("given_initial"))
+    none = F.lit(None).cast("string")
+
+    def made(kind, rows, title, year):
+        rows = rows.withColumn("f", F.when(k % 4 == 1, F.lit("Other")).otherwise(family))
+        return rows.select(
+            F.concat(F.lit(f"10.5555/{kind}."), k.cast("string")).alias("doi"), title.alias("title"), none.alias("subtitle"), F.when(k % 4 == 3, F.array().cast(PEOPLE)).otherwise(F.array(person).cast(PEOPLE)).alias("authors"),
+            year.cast("int").alias("year"), none.alias("venue"), none.alias("volume"), none.alias("issue"), F.lit(None).cast("struct<start:string,end:string>").alias("pages"), none.alias("publisher"), none.alias("arxiv_id"),
+            F.lit("journal-article").alias("kind"), F.lit(False).alias("retracted"), (k % 17 == 0).alias("withdrawn"), F.lit(False).alias("expression_of_concern"), F.array().cast("array<string>").alias("update_notices"), none.alias("published_version_doi"),
+        )
+
+    there = parts.filter(k % 7 != 6)
+    year = 1950 + k % 60
+    works_ = made("part", there, main, year - (k % 13 == 0).cast("int"))
+    works_ = works_.union(made("short", there.filter(k % 6 == 1), F.concat_ws(" ", F.slice(words, 1, 3)), year))
+    works_ = works_.union(made("first", there.filter(k % 6 == 1), F.concat_ws(" ", F.slice(words, 1, 2)), year))
+    return works_.union(made("again", there.filter(k % 10 == 4), part_title(k), year + 3))
+
+
 def no_replies(spark: SparkSession, works_: DataFrame) -> DataFrame:
     """Recorded searches that found nothing."""
     from refweave.operators.resolve import FACTS, FLAGS

