@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTRY = (
@@ -52,3 +52,12 @@ def problem(code: str, severity: Column | str, message: Column | str, **more: Co
 def field_of(fields: Column):
     """Access to a field's raw value by lower-cased name; empty values are kept apart from absent ones by the caller."""
     return lambda name: F.element_at(fields, name.lower())
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row.
+
+    Columns of a generator are never folded into the expressions that read them, as those of a
+    projection are where these feed a Python function.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -134,3 +134,21 @@ def test_suggested_key(spark):
 
 def test_nfc():
     assert unicodedata.is_normalized("NFC", latex.to_unicode(r"\'{e}\c{c}"))
+
+
+def test_ranges_take_exactly_their_characters(spark):
+    """The ranges that keep texts in the JVM hold what they were made of and nothing else."""
+    chars = [chr(i) for i in range(1, 0x250)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    for kept in (latex._NATIVE, latex._SHOWN | latex._LATIN):
+        got = {r.c for r in df.filter(F.col("c").rlike(latex._only(kept))).collect()}
+        assert got == set(chars) & kept
+
+
+def test_computed_columns_are_not_folded(spark):
+    """A key that is read many times by what feeds a Python function is written once in the plan."""
+    from refweave.schema import computed
+
+    rows = computed(spark.range(3), k=F.upper(F.col("id").cast("string"))).select("*", (F.col("k") == F.concat("k", F.lit(""))).alias("same"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert [r.same for r in rows.collect()] == [True] * 3
