@@ -172,6 +172,25 @@ def _star(live: DataFrame, total: int, payload: DataFrame, star_test: Callable,
     return first, stash(rows, "open")
 
 
+def _merged(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` in which open buckets of one largest component are a single bucket, where that makes fewer copies.
+
+    A large group of near copies fills a bucket of every band with much the same
+    rows, and each of its pairs would be tested once for each. The whole bucket
+    holds all rows of those it replaces, so no pair is lost.
+    """
+    inside = F.col("c") == F.col("main")
+    each = rows.groupBy("main", "id", "c").agg(F.sum(F.when(inside, F.col("br")).otherwise(F.col("br") + F.col("bm"))).alias("apart"), F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("main").agg(F.sum("apart").alias("apart"), F.sum("n").alias("n"), F.count_if(inside).alias("ki"), F.count_if(~inside).alias("kr"))
+    whole = whole.select("main", "apart", "n", "ki", "kr", blocks_of(F.col("ki"), block).alias("wm"), blocks_of(F.col("kr"), block).alias("wr"))
+    whole = stash(whole.filter((F.col("wr") <= CROWD) & (F.col("ki") * F.col("wr") + F.col("kr") * (F.col("wr") + F.col("wm")) < F.col("apart"))).select("main", "n", "wm", "wr"), "whole")
+    if whole.isEmpty():
+        return rows
+    marked = join_salted(rows, whole, ["main"], "n", ["id"], rows.count(), "left")
+    one = marked.filter("wm is not null").select(F.xxhash64(F.lit("whole"), "main").alias("bucket"), "id", "c", "main", F.col("wm").alias("bm"), F.col("wr").alias("br")).distinct()
+    return stash(marked.filter("wm is null").select("bucket", "id", "c", "main", "bm", "br").union(one), "merged")
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """(bucket, id, c, x, y, side): the rows of buckets in several components, once for each tile of two blocks that they belong to."""
     inside = F.col("c") == F.col("main")
@@ -196,6 +215,7 @@ def link_buckets(
     tile_test: Callable[[list, list], np.ndarray],
     block: int = 256,
     refine: Callable[[DataFrame], DataFrame] | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Components (id, component) of the linked ids; ids without links are absent.
 
@@ -205,6 +225,8 @@ def link_buckets(
     ``refine`` deals the rows (bucket, id, payload) of buckets with more than
     ``CROWD`` blocks outside their largest component to finer ones (bucket, id)
     in which every pair that links still meets, so links do not depend on it.
+    Where ``merge``, open buckets of one component are tested as one if that
+    copies less; a pair that only shares the component may then be linked too.
     """
     live, total = _live(members)
     payload = stash(items(stash(live.select("id").distinct(), "ids")), "items")
@@ -233,7 +255,7 @@ def link_buckets(
         if edges:
             yield pd.DataFrame(edges, columns=["a", "b"])
 
-    dealt = _dealt(rows).join(payload, "id")
+    dealt = _dealt(_merged(rows, block) if merge else rows).join(payload, "id")
     more = stash(
         dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInPandas(verify, "a long, b long"),
         "more",

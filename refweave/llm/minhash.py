@@ -170,7 +170,7 @@ def _grouped(documents: DataFrame, percent: int, width: int, block: int) -> Data
         return 100 * common >= percent * (F.size(one) + F.size(two) - common)
 
     with scratch(documents.sparkSession) as made:
-        found = linking.link_buckets(members, items, star_test, lambda a, b: jaccard_table(a, b, percent), block, _finer(percent))
+        found = linking.link_buckets(members, items, star_test, lambda a, b: jaccard_table(a, b, percent), block, _finer(percent), merge=True)
         found = stash(found, "found")
         made.pop()
     least = classes.join(found, "id").groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))

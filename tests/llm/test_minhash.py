@@ -163,3 +163,20 @@ def test_components(spark):
                     root[x] = root[a]
     got = {r.id: r.component for r in linking.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: min(v) for k, v in root.items()}
+
+
+def test_buckets_of_one_group_are_tested_as_one(spark, monkeypatch):
+    """A group that fills a bucket of every band is dealt to tiles once where that copies less, and its links are those of brute force."""
+    copies, dealt = [], linking._dealt
+
+    def counted(rows):
+        out = dealt(rows)
+        copies.append((out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(linking, "_dealt", counted)
+    rows = list(enumerate(near_group(3, 60, 200, 3)))
+    got = run(spark, [(k, t, None, None) for k, t in rows], block=16)
+    assert got == brute(rows)
+    made, ids = copies[0]
+    assert ids > 16 and made <= 20 * ids
