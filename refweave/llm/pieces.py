@@ -35,7 +35,7 @@ from refweave.llm.shared import lean
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 512  # characters of a word from which on a heap takes the place of rounds over all words
-BATCH = 400_000  # characters that a suffix array indexes, or one longer word
+BATCH = 100_000  # characters that a suffix array indexes, or one longer word; its arrays take up to about 100 bytes for each
 CACHE = 300_000  # words that a task remembers
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
@@ -339,7 +339,7 @@ def encode(documents: DataFrame, path: str = MODEL, carry: list[str] | None = No
     def run(batches):
         matcher, speller = Matcher(pieces), Speller(pieces)
         for batch in batches:
-            for part in wordset.runs(batch, "text", 2 << 20):
+            for part in wordset.runs(batch, "text"):
                 column = part.column("text").to_pylist()
                 flat, start = matcher.encode(column)
                 ids = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in column]))

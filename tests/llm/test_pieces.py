@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -64,3 +65,18 @@ def test_whole_table(spark, model):
     got = registry.op9_suffix_pieces(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == len(docs)
     assert all(r.round_trip and r.ids == model.encode(docs[r.doc_id]) and r.n_ids == len(r.ids) for r in got)
+
+
+def test_memory_of_new_words():
+    """A worker that meets many words at once indexes few of them at a time, and the ids do not depend on how many."""
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=rng.randrange(3, 12))) for _ in range(3000)) for _ in range(40)]
+    model = pieces.Pieces.load()
+    matcher = pieces.Matcher(model)
+    tracemalloc.start()
+    flat, start = matcher.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6
+    one = pieces.Matcher(model)
+    assert [flat[a:b].tolist() for a, b in zip(start[:3], start[1:4])] == [one.encode([t])[0].tolist() for t in texts[:3]]
